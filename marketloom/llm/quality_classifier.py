@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.llm.common import discard, materialize, slices, text_bytes
 
@@ -102,7 +103,8 @@ def log_ratios(counts: DataFrame):
 
 
 def score(df: DataFrame, ratios) -> DataFrame:
-    """``doc_id`` and ``log_weight`` of every row."""
+    """``df``, with a ``doc_id`` and a ``text``, and the ``log_weight`` of every row."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -127,9 +129,11 @@ def score(df: DataFrame, ratios) -> DataFrame:
                     short = ~long & (grams > 0)
                     out[short] = np.minimum(out[short], (sums[offsets[:-1][short] + size[short]] - sums[offsets[:-1][short]]) / scale)
                 out[grams == 0] = 0.0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out)], ["doc_id", "log_weight"])
+                given = [x for c, x in zip(part.schema.names, part.columns) if c in names]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(out)], [*names, "log_weight"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double")
+    kinds = T.StructType([*df.schema.fields, T.StructField("log_weight", T.DoubleType())])
+    return df.mapInArrow(run, kinds)
 
 
 def label_rows(labels: DataFrame) -> DataFrame:
@@ -193,8 +197,22 @@ def top_k(keys: DataFrame, k: int) -> Column:
     return (F.col("key") > key) | (F.col("key") == key) & (F.col("doc_id") <= -doc_id)
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, holdout_rows: int = 20_000, loss: float = 4.0, seed: int = 1) -> DataFrame:
-    """``doc_id``, ``log_weight``, ``key`` and ``kept`` of every row of ``docs`` (``doc_id``, ``text``).
+class Classifier:
+    """Log ratios, and which ``key`` is among the k largest."""
+
+    def __init__(self, ratios, seed: int):
+        self.ratios, self.seed, self.condition = ratios, seed, F.lit(True)
+
+    def keys(self, scores: DataFrame) -> DataFrame:
+        uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(self.seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+        return scores.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
+
+    def kept(self) -> Column:
+        return F.coalesce(self.condition, F.lit(False))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, holdout_rows: int = 20_000, loss: float = 4.0, seed: int = 1) -> tuple[Classifier, DataFrame]:
+    """The classifier, and ``doc_id``, ``log_weight`` and ``key`` of every row of ``docs`` (``doc_id``, ``text``).
 
     The target model is fitted on at most ``fit_rows`` labelled documents, the first by a digest of the id,
     and the cutoff on the next ``holdout_rows``; both samples are small enough to broadcast. The raw model
@@ -207,12 +225,24 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, holdout
     fit_ids = labelled.orderBy("digest", "doc_id").limit(n).select("doc_id", F.col("good").alias("target"))
     held_out = labelled.join(F.broadcast(fit_ids), "doc_id", "left_anti").select("doc_id", "good")
     marked = docs.join(F.broadcast(fit_ids), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    ratios = log_ratios(count_grams(marked))
-    scores = materialize(score(docs, ratios), "classifier-scores")
+    model = Classifier(log_ratios(count_grams(marked)), seed)
+    scores = materialize(score(docs, model.ratios).drop("text"), "classifier-scores")
     cutoff = best_cutoff(scores, held_out, loss)
-    uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keys = scores.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
-    k = scores.where(F.col("log_weight") >= cutoff).count()
-    out = keys.withColumn("kept", F.coalesce(top_k(keys, k), F.lit(False)))
+    keys = model.keys(scores)
+    model.condition = top_k(keys, scores.where(F.col("log_weight") >= cutoff).count())
     discard(labelled)
-    return out
+    return model, keys
+
+
+def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """``doc_id``, ``log_weight``, ``key`` and ``kept`` of every row of ``docs``; parameters as of :func:`fit`."""
+    model, keys = fit(docs, labels, **parameters)
+    return keys.withColumn("kept", model.kept())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns; a second scan instead of a join on texts."""
+    model, keys = fit(docs, labels, **parameters)
+    named = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    drawn = model.keys(score(named, model.ratios)).where(model.kept())
+    return drawn.drop("log_weight", "key")

@@ -22,12 +22,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.packing import pack
+    from marketloom.llm.token_counts import count_tokens
+
+    counts = count_tokens(common.table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pack(common.materialize(counts.select("doc_id", "n_tokens"), "lengths"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.quality_classifier import classify
 
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.decontaminate import find_items
+
+    return find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.token_counts import count_tokens
 

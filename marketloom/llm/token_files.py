@@ -38,7 +38,7 @@ MAGIC = b"S8T1"
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 2 << 20
 #: Distinct pre-tokens that one Python worker remembers; a bound on memory, not on results.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class WordEncoder:
