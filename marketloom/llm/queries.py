@@ -42,6 +42,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.token_counts import count_tokens
 
