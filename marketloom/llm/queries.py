@@ -36,6 +36,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.suffix_dedup import removal_digest, repeated_spans
+
+    docs = common.table(spark, sf_dir, "documents")
+    return removal_digest(docs, repeated_spans(docs, 400))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.decontaminate import find_items
 
