@@ -22,6 +22,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.html_extraction import extract_pages, learn
+
+    pages = common.table(spark, sf_dir, "pages")
+    return extract_pages(pages, learn(pages))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.packing import pack
     from marketloom.llm.token_counts import count_tokens
