@@ -69,6 +69,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.paragraph_dedup import paragraph_dedup
+
+    return paragraph_dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.token_files import read_token_files, write_token_files
 
