@@ -24,6 +24,11 @@ def matches(col: Column | str, text: str) -> Column:
     return F.coalesce(col.rlike(pattern(text)), F.lit(False))
 
 
+def matches_lower(col: Column, text: str) -> Column:
+    """Whether a lower-case pattern occurs in text that is in lower case already, which is faster; false for null."""
+    return F.coalesce(col.rlike("(?U)" + text), F.lit(False))
+
+
 def contains_any(col: Column, words: list[str]) -> Column:
     """Whether any of the words is a substring; ``col`` is in the case that the words are in."""
     found = F.lit(False)
@@ -70,8 +75,9 @@ def fold_lookalikes(col: Column) -> Column:
 
 def fold_identifiers(col: Column) -> Column:
     """Look-alike letters as Latin inside vehicle identifiers only (A6, C4-C8, 4B, 1.8T, 2.7T)."""
+    given = col
     classes = [("а", "А", "a", "A", "", "6"), ("с", "С", "c", "C", "", "[4-8]"), ("в", "В", "b", "B", "4", ""), ("т", "Т", "t", "T", "1\\.8", ""), ("т", "Т", "t", "T", "2\\.7", "")]
     for small, big, to_small, to_big, before, after in classes:
         for letter, to in ((small, to_small), (big, to_big)):
             col = F.regexp_replace(col, f"(?U)\\b({before}){letter}({after})\\b", f"$1{to}$2")
-    return col
+    return F.when(given.rlike("[аАсСвВтТ]"), col).otherwise(given)

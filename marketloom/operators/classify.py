@@ -1,5 +1,7 @@
 """The classifier: an ordered ladder of rules, first match wins, as one CASE expression.
 
+Rules read text in lower case, so their patterns need no case folding.
+
 The texts and flags that several rules need are projected once; the ladder itself is a single
 ``when().when()...otherwise()`` that gives the ``decision`` struct.
 """
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import clean_text, contains_any, fold_identifiers, matches, pattern
+from marketloom.functions.text import clean_text, contains_any, fold_identifiers, pattern
+from marketloom.functions.text import matches_lower as matches
 from marketloom.operators import rules as R
 
 DECISION = "struct<status:string,confidence:double,reasons:array<string>,normalized_engine:string,normalized_generation:string>"
@@ -45,7 +48,7 @@ def brand_model_reason(title: Column, full: Column, brand: Column, model: Column
     steps = [F.when(brand.isNotNull() & ~b.isin(ruleset.brands), F.lit("WRONG_BRAND"))]
     steps += [F.when(m.isin(names), F.lit(reason)) for reason, names in R.WRONG_STRUCTURED]
     steps.append(F.when(model.isNotNull() & ~m.isin(R.KNOWN_MODELS), F.concat(F.lit("WRONG_MODEL_"), m)))
-    steps.append(F.when(matches(title, R.OTHER_MAKE_TITLE) & ~(a6_title & ~F.lower(title).contains("на")), F.lit("NOT_AUDI_A6")))
+    steps.append(F.when(matches(title, R.OTHER_MAKE_TITLE) & ~(a6_title & ~title.contains("на")), F.lit("NOT_AUDI_A6")))
     neither = ~a6_title & ~c5_title
     for reason, p in (("WRONG_MODEL_A4", R.MODEL_A4), ("WRONG_MODEL_A8", R.MODEL_A8), ("WRONG_MODEL", R.MODEL_OTHER)):
         steps.append(F.when(neither & matches(title, p), F.lit(reason)))
@@ -100,7 +103,8 @@ def classify(df: DataFrame, ruleset: R.RuleSet | None = None, compatibility: boo
     given = {c: (F.col(c) if c in names else F.lit(None)).cast(kind) for c, kind in INPUTS.items()}
     texts = {f"_{c}": clean_text(given[c], compatibility) for c in ("title", "description", "engine")}
     at = df.withColumns(texts)
-    at = at.withColumns({"_t": fold_identifiers(F.col("_title")), "_full": F.trim(F.concat_ws(" ", fold_identifiers(F.col("_title")), fold_identifiers(F.col("_description")), fold_identifiers(F.col("_engine"))))})
+    at = at.withColumns({f"_i{c}": F.lower(fold_identifiers(F.col(f"_{c}"))) for c in ("title", "description", "engine")})
+    at = at.withColumns({"_t": F.col("_ititle"), "_full": F.trim(F.concat_ws(" ", "_ititle", "_idescription", "_iengine"))})
     t, full = F.col("_t"), F.col("_full")
     low_title, low_full = F.lower("_title"), F.trim(F.concat(F.lower("_title"), F.lit(" "), F.lower("_description")))
     at = at.withColumns({

@@ -77,7 +77,7 @@ def _market_price(spark, sf):
 
 @query("market_peers", WITH_LISTINGS + f""", y AS (SELECT brand, model, generation, year, sum(CASE WHEN price_usd > 500 THEN price_usd END) AS s, count(*) FILTER (WHERE price_usd > 500) AS n FROM listings GROUP BY ALL),
  p AS (SELECT a.brand, a.model, a.generation, a.year, sum(b.s) AS s, sum(b.n) AS n FROM y a JOIN y b ON a.brand = b.brand AND a.model = b.model AND a.generation = b.generation AND (a.year IS NULL OR b.year BETWEEN a.year - 1 AND a.year + 1) GROUP BY ALL)
-SELECT {ID_SQL}, round(p.s::DECIMAL(30,6) / p.n, 2)::DOUBLE AS peer_avg, p.n::BIGINT AS peer_count FROM listings l JOIN p ON l.brand = p.brand AND l.model = p.model AND l.generation = p.generation AND l.year IS NOT DISTINCT FROM p.year""")
+SELECT {ID_SQL}, (floor(p.s * 100 / p.n + 0.5 + 1e-9) / 100)::DOUBLE AS peer_avg, p.n::BIGINT AS peer_count FROM listings l JOIN p ON l.brand = p.brand AND l.model = p.model AND l.generation = p.generation AND l.year IS NOT DISTINCT FROM p.year""")
 def _market_peers(spark, sf):
     return market_peers(listings(spark, sf)).select(*_ids("peer_count"), F.col("peer_avg").cast("double").alias("peer_avg"))
 
@@ -129,16 +129,16 @@ def _phone(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", phone(given).alias("phone"))
 
 
-@query("image_clean", """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), x -> trim(x)) AS x FROM pages)
-SELECT page_id, len(y) AS n, array_to_string(y, '|') AS links FROM (SELECT page_id, list_filter(x, (v, i) -> v <> '' AND list_position(x, v) = i) AS y FROM l)""")
+@query("image_clean", """WITH l AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: trim(x)) AS x FROM pages)
+SELECT page_id, len(y) AS n, array_to_string(y, '|') AS links FROM (SELECT page_id, list_filter(x, lambda v, i: v <> '' AND list_position(x, v) = i) AS y FROM l)""")
 def _images(spark, sf):
     links = image_list(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     return table(spark, sf, "pages").select("page_id", F.size(links).cast("long").alias("n"), F.array_join(links, "|").alias("links"))
 
 
 @query("canonical_url", """WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
- k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), x -> regexp_extract(x, '^([^=]*)=(.+)$', 1) NOT IN ('', 'ref', 'from', 'hash', 'tab') AND NOT starts_with(x, 'utm_'))) AS kept FROM u)
-SELECT page_id, 'https://' || lower(string_split(host, ':')[1]) || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM k""")
+ k AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: regexp_extract(x, '^([^=]*)=(.+)$', 1) NOT IN ('', 'ref', 'from', 'hash', 'tab') AND NOT starts_with(x, 'utm_'))) AS kept FROM u)
+SELECT page_id, 'https://' || CASE WHEN contains(lower(host), 'auto.ria') THEN 'auto.ria.com' WHEN contains(lower(host), 'olx') THEN 'www.olx.ua' WHEN contains(lower(host), 'rst') THEN 'rst.ua' WHEN contains(lower(host), 't.me') THEN 't.me' WHEN contains(lower(host), 'instagram') THEN 'www.instagram.com' ELSE lower(string_split(host, ':')[1]) END || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM k""")
 def _canonical(spark, sf):
     return table(spark, sf, "pages").select("page_id", canonical_url(F.lit(""), F.col("url")).alias("canonical_url"))
 
