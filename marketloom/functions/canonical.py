@@ -22,9 +22,15 @@ SITES = [
 PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _reencode(col: Column) -> Column:
     plain = F.coalesce(F.try_url_decode(col), col)
-    return F.regexp_replace(F.regexp_replace(F.url_encode(plain), "%7E", "~"), "\\*", "%2A")
+    coded = F.regexp_replace(F.regexp_replace(F.url_encode(plain), "%7E", "~"), "\\*", "%2A")
+    return F.when(col.rlike("^[A-Za-z0-9_.-]*$"), col).otherwise(coded)
 
 
 def canonical_url(source: Column, url: Column) -> Column:
@@ -32,23 +38,28 @@ def canonical_url(source: Column, url: Column) -> Column:
     url = F.coalesce(url, F.lit(""))
     host = F.get(F.split(F.lower(F.regexp_extract(url, PARTS, 2)), ":"), F.lit(0))
     path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, PARTS, 3), ";[^/]*$", ""), "/+$", "")
-    pairs = F.transform(F.split(F.regexp_extract(url, PARTS, 4), "&"), lambda p, i: F.struct(_reencode(F.regexp_extract(p, "^([^=]*)=(.*)$", 1)).alias("k"), i.alias("i"), _reencode(F.regexp_extract(p, "^([^=]*)=(.*)$", 2)).alias("v")))
-    kept = F.filter(pairs, lambda x: (x["v"] != "") & ~F.lower(x["k"]).isin(TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
+    split = F.transform(F.split(F.regexp_extract(url, PARTS, 4), "&"), lambda p, i: F.struct(_reencode(F.regexp_extract(p, "^([^=]*)=(.*)$", 1)).alias("k"), i.alias("i"), _reencode(F.regexp_extract(p, "^([^=]*)=(.*)$", 2)).alias("v")))
+    kept = F.filter(split, lambda x: (x["v"] != "") & ~F.lower(x["k"]).isin(TRACKING) & ~F.lower(x["k"]).startswith("utm_"))
     query = F.array_join(F.transform(F.sort_array(kept), lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
     name = F.lower(F.coalesce(source, F.lit("")))
-    new_host, new_path, new_query = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for part, mark, to, cuts, bare in reversed(SITES):
-        here = name.contains(part) | host.contains(mark)
-        cut = path
-        for old, new in cuts:
-            cut = F.regexp_replace(cut, old, new)
-        new_host = F.when(here, F.lit(to)).otherwise(new_host)
-        new_path = F.when(here, cut).otherwise(new_path)
-        new_query = F.when(here, F.when(cut.rlike(bare), F.lit("")).otherwise(query) if bare else query).otherwise(new_query)
-    host, path, query = F.coalesce(new_host, host), F.coalesce(new_path, path), F.coalesce(new_query, query)
-    path = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    whole = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(F.trim(url) == "", F.lit("")).otherwise(whole)
+
+    def rules(x: Column) -> Column:
+        host, path, query = x["host"], x["path"], x["query"]
+        for part, mark, to, cuts, bare in reversed(SITES):
+            here = x["name"].contains(part) | x["host"].contains(mark)
+            cut = x["path"]
+            for old, new in cuts:
+                cut = F.regexp_replace(cut, old, new)
+            host, path = F.when(here, F.lit(to)).otherwise(host), F.when(here, cut).otherwise(path)
+            query = F.when(here, F.when(x["path"].rlike(bare), F.lit("")).otherwise(x["query"]) if bare else x["query"]).otherwise(query)
+        return F.struct(host.alias("host"), path.alias("path"), query.alias("query"))
+
+    def whole(x: Column) -> Column:
+        slash = F.when((x["path"] != "") & ~x["path"].startswith("/"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.lit("https://"), x["host"], slash, x["path"], F.when(x["query"] != "", F.concat(F.lit("?"), x["query"])).otherwise(F.lit("")))
+
+    parts = F.struct(name.alias("name"), host.alias("host"), path.alias("path"), query.alias("query"))
+    return F.when(F.trim(url) == "", F.lit("")).otherwise(let(let(parts, rules), whole))
 
 
 def fingerprint_text(strict: bool = True, prefix: str = "AUDI_A6_C5", include_model: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.functions.canonical import let
 from marketloom.functions.text import matches, pattern
 from marketloom.schema import FILTER_DEFAULTS
 
@@ -22,17 +23,27 @@ _RANGE = r"(\d{3,6})\s*(?:-|—|–|\.\.|/|to|до)\s*(\d{3,6})"
 
 def _with_thousands(text: Column) -> Column:
     """``3.5k`` as ``3500``: numbers with k are rewritten one by one, up to four in a text."""
+
+    def once(t: Column) -> Column:
+        def rewrite(number: Column) -> Column:
+            value = F.floor(number.try_cast("decimal(12,4)") * 1000).cast("string")
+            this = F.concat(F.lit("(?iuU)"), F.replace(number, F.lit("."), F.lit("\\.")), F.lit("\\s*[kк]\\b"))
+            return F.when(number != "", F.regexp_replace(t, this, value)).otherwise(t)
+
+        return let(F.regexp_extract(t, pattern(r"(\d+(?:\.\d+)?)\s*[kк]\b"), 1), rewrite)
+
     for _ in range(4):
-        number = F.regexp_extract(text, pattern(r"(\d+(?:\.\d+)?)\s*[kк]\b"), 1)
-        value = F.floor(number.try_cast("decimal(12,4)") * 1000).cast("string")
-        text = F.when(number != "", F.regexp_replace(text, F.concat(F.lit("(?iuU)"), F.replace(number, F.lit("."), F.lit("\\.")), F.lit("\\s*[kк]\\b")), value)).otherwise(text)
+        text = let(text, once)
     return text
 
 
 def price_bounds(text: Column) -> Column:
     """``recognised``, ``min_price`` and ``max_price`` of a typed price."""
     clean = F.lower(F.trim(text))
-    plain = _with_thousands(clean)
+    return let(F.struct(clean.alias("clean"), _with_thousands(clean).alias("plain")), lambda x: _price_of(x["clean"], x["plain"]))
+
+
+def _price_of(clean: Column, plain: Column) -> Column:
     none = F.lit(None).cast("int")
 
     def result(low: Column, high: Column) -> Column:
@@ -58,7 +69,10 @@ def price_bounds(text: Column) -> Column:
 
 def mileage_bound(text: Column) -> Column:
     """``recognised`` and ``max_mileage`` of a typed mileage."""
-    clean = F.lower(F.trim(text))
+    return let(F.lower(F.trim(text)), _mileage_of)
+
+
+def _mileage_of(clean: Column) -> Column:
     none = F.lit(None).cast("int")
     thousands = F.translate(F.regexp_extract(clean, pattern(r"(\d+(?:[.,]\d+)?)\s*(?:тис|тыс|тис\.|тыс\.|[kк])\b"), 1), ",", ".").try_cast("decimal(12,4)")
     near = F.regexp_replace(F.regexp_extract(clean, pattern(r"(?:пробіг|пробег|км)?[:\s]*(\d[\d\s]{4,7})\s*(?:км)?"), 1), "\\s+", "").try_cast("long")
@@ -80,10 +94,14 @@ def mileage_bound(text: Column) -> Column:
 
 def intent(text: Column, awaiting: Column | None = None) -> Column:
     """Where a free text goes: ``op`` (set_mileage, set_price or none) with its bounds."""
-    price, mileage = price_bounds(text), mileage_bound(text)
     context = matches(F.lower(text), "|".join(MILEAGE_WORDS))
     if awaiting is not None:
         context = context | F.coalesce(awaiting == "awaiting_mileage", F.lit(False))
+    parsed = F.struct(price_bounds(text).alias("price"), mileage_bound(text).alias("mileage"), context.alias("context"))
+    return let(parsed, lambda x: _intent_of(x["price"], x["mileage"], x["context"]))
+
+
+def _intent_of(price: Column, mileage: Column, context: Column) -> Column:
     none = F.lit(None).cast("int")
 
     def result(op: str, low: Column, high: Column, most: Column) -> Column:

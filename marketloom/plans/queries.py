@@ -328,7 +328,7 @@ def _badge(spark, sf):
     return at.withColumn("badge", A.seller_badge(F.col("n")))
 
 
-@query("price_text", WITH_LISTINGS + f""", f AS (SELECT {ID_SQL}, mileage, currency, (l_extendedprice // 1)::BIGINT AS p FROM listings)
+@query("price_text", WITH_LISTINGS + f""", f AS (SELECT {ID_SQL}, mileage, currency, floor(l_extendedprice)::BIGINT AS p FROM listings)
 SELECT {ID_SQL}, CASE currency WHEN 'USD' THEN '$' || replace(format('{{:,}}', p), ',', ' ') WHEN 'UAH' THEN replace(format('{{:,}}', p), ',', ' ') || ' грн' ELSE replace(format('{{:,}}', p), ',', ' ') || ' €' END AS label, replace(format('{{:,}}', mileage), ',', ' ') || ' км' AS mileage_label FROM f""")
 def _price_text(spark, sf):
     whole = F.floor(F.col("l_extendedprice")).cast("decimal(12,2)")
@@ -411,7 +411,7 @@ def _json(spark, sf):
     return at.where("p.k is not null").select("event_id", F.col("p.k").alias("k"))
 
 
-@query("message_specs", f"""WITH {ADS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, nullif(regexp_extract(title, '\\b(199[7-9]|200[0-5])\\b', 1), '')::INT AS year, (l_extendedprice // 1)::DOUBLE AS price, 'USD' AS currency, (l_quantity * 1000)::INT AS mileage,
+@query("message_specs", f"""WITH {ADS_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, nullif(regexp_extract(title, '\\b(199[7-9]|200[0-5])\\b', 1), '')::INT AS year, floor(l_extendedprice)::DOUBLE AS price, 'USD' AS currency, (l_quantity * 1000)::INT AS mileage,
   CASE WHEN title LIKE '% 1.8T%' THEN '1.8T' WHEN title LIKE '% 1.9 TDI%' THEN '1.9 TDI' WHEN title LIKE '% 1.8%' THEN '1.8' WHEN title LIKE '% 2.4%' THEN '2.4' END AS engine, CASE WHEN title LIKE '%TDI%' THEN 'дизель' END AS fuel_type FROM ads""")
 def _specs(spark, sf):
     text = F.concat(F.col("title"), F.lit("; Ціна: "), F.floor("l_extendedprice").cast("string"), F.lit(" $; Пробіг "), F.col("l_quantity").cast("int").cast("string"), F.lit(" тис"))
