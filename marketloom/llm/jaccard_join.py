@@ -7,21 +7,16 @@ the element domain (by hash) at least one holds the same elements of both. Each
 for every part, a commutative hash of its elements there, for the band pair that ends with its own band
 and the one that ends with the next: no similar pair can fail to share a signature.
 
-Links are found without listing the pairs inside a group of equal signatures:
+Signatures are many (about a quarter of the shingles at 90 percent), so they are shuffled once, sorted and
+packed: a task deals its signatures by their leading bits to ``BUCKETS`` buckets, and a row holds all that it
+has for one. A signature that very many sets of one task share stays behind with the task's smallest member
+only, and the others are noted as linked to that member's group, so no bucket gathers a common signature.
 
-1. Sets that are equal form a class; the smallest id stands for it.
-2. Each class is compared with the smallest member (hub) of its signature groups, first with the hub it
-   shares most signatures with, then with those that are still in another component.
-3. What is left are groups with members in several components; only pairs across components are looked
-   at, so members that are linked already are never paired.
-
-Before sets are compared, odd sketches (the parity of the elements in each of several buckets) give a
-lower bound on how much they differ, which drops pairs below the threshold without their sets. Every
-kept link has been verified on the exact sets, by 64-bit hashes of the shingles.
+Groups of equal signatures become components of verified links (:mod:`links`).
 
 Cases: text without words, and null, is an empty set, linked with nothing. A text with fewer words than
 a shingle is one shingle of all its words. Repeated rows and equal texts are one class and each get
-their row. Empty tables give empty results.
+their row. Empty tables give empty results. Sets are told apart by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -34,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import discard, materialize, slices, small_enough, text_bytes
-from marketloom.llm.components import components
+from marketloom.llm.links import components_of, odd_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACES = np.zeros(256, bool)
@@ -42,7 +37,13 @@ _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _CODES[65:91] = _CODES[97:123]  # A-Z as a-z
 #: Text handled at once; hashing holds several 64-bit numbers for each byte.
-HASH_BYTES = 4 << 20
+HASH_BYTES = 1 << 20
+#: Buckets that signatures are dealt to, by their leading bits.
+BUCKETS = 512
+#: Signatures that a task holds before it deals them out.
+HELD = 1 << 20
+#: Sets of one deal that may share a signature before only their smallest goes on to the bucket.
+COMMON = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -134,159 +135,142 @@ def signatures(elements: np.ndarray, threshold_pct: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def odd_sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements in buckets, at least two for each element; equal-size sketches can be compared."""
-    bits = sketch_bits(len(elements))
-    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
-
-
-def sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * n).bit_length())
-
-
-def differ_at_least(a: bytes, b: bytes) -> int:
-    """A lower bound on the number of elements in just one of two sets, from their odd sketches."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):  # buckets are low bits of the hash: fold the longer sketch
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
+def _short(signature: np.ndarray) -> np.ndarray:
+    """A signature's bucket (9 bits) and the 40 bits after it; sets that agree by chance in these are told apart later."""
+    return signature >> np.uint64(15)
 
-def _scan(docs: DataFrame, schema: str, row) -> DataFrame:
-    """One row of ``row(elements)`` for each document, beside its id."""
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", HASH_BYTES):
-                rows = [row(s) for s in shingle_sets(*text_bytes(part.column("text")), words)]
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, _kinds(names[1:]))]], names)
-
-    return lambda words: docs.mapInArrow(lambda b: run(b, words), schema)
+def _five_bytes(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _kinds(names: list[str]) -> list[pa.DataType]:
-    kinds = {"n": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "signatures": pa.list_(pa.int64()), "sketch": pa.binary(), "elements": pa.binary()}
-    return [kinds[x] for x in names]
+def _from_five_bytes(data, bucket: int) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, :5] = part
+    return whole.reshape(-1).view("<u8") | np.uint64(bucket << 40)
 
 
-def _signed(x) -> int:
-    return int(np.uint64(x).astype(np.int64))
+def _deal(signature: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, signatures, nodes, hubs) for all signatures held; a hub stands where the member goes no further."""
+    signature = _short(signature)
+    order = np.lexsort((node.view(np.int64), signature))
+    signature, node = signature[order], node[order]
+    new = np.append(True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1]))
+    signature, node = signature[new], node[new]
+    first = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+    size = np.diff(np.append(first, len(signature)))
+    local = np.repeat(size > COMMON, size)
+    if local.any():
+        hub = np.repeat(node[first], size)
+        yield int(mix(signature[:1])[0] % np.uint64(BUCKETS)) + BUCKETS, signature[local].tobytes(), node[local].tobytes(), hub[local].tobytes()
+        local[first] = False
+        signature, node = signature[~local], node[~local]
+    ends = np.searchsorted(signature >> np.uint64(40), np.arange(BUCKETS + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(ends)):
+        a, z = ends[b], ends[b + 1]
+        yield int(b), _five_bytes(signature[a:z]), node[a:z].tobytes(), b""
 
 
 def scan_signatures(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:
-    """``doc_id``, set size ``n``, fingerprint ``f1``, ``f2`` and ``signatures`` of every document."""
-
-    def row(elements: np.ndarray) -> tuple:
-        f1 = elements.sum(dtype=np.uint64)
-        f2 = mix(elements ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-        return len(elements), _signed(f1), _signed(f2), signatures(elements, threshold_pct).astype(np.int64)
-
-    return _scan(docs, "doc_id long, n long, f1 long, f2 long, signatures array<long>", row)(words)
-
-
-def scan_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n``, ``sketch`` and the ``elements`` as little-endian 64-bit numbers."""
-    return _scan(docs, "doc_id long, n long, sketch binary, elements binary", lambda s: (len(s), odd_sketch(s), s.astype("<u8").tobytes()))(words)
-
-
-def _sketch_filter(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs (``a``, ``b``) that sizes and sketches allow to be similar."""
+    """Rows of documents (``doc_id``, ``n``, ``f1``) and rows of packed signatures (``bucket`` and three arrays of 64-bit numbers)."""
+    names = ["bucket", "doc_id", "n", "f1", "signatures", "nodes", "hubs"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, sa, nb, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb"))):
-                most = (na + nb) * (100 - threshold_pct) // (100 + threshold_pct)
-                keep.append(differ_at_least(sa, sb) <= most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * threshold_pct) & (F.col("nb") * 100 >= F.col("na") * threshold_pct))
-    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+        held: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        size, seen = 0, set()
 
+        def deal() -> pa.RecordBatch:
+            rows = [(b, None, None, None, s, x, h) for b, s, x, h in _deal(np.concatenate(held), np.concatenate(owners))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
-    """Pairs (``a``, ``b``) whose sets have the similarity."""
+        for batch in batches:
+            for part in slices(batch, "text", HASH_BYTES):
+                rows = []
+                for elements in shingle_sets(*text_bytes(part.column("text")), words):
+                    f1 = mix(elements ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) + np.uint64(len(elements))
+                    rows.append((len(elements), int(f1.astype(np.int64))))
+                    if len(elements) and rows[-1][1] not in seen:  # equal sets of a task give the same entries
+                        if len(seen) < 100_000:
+                            seen.add(rows[-1][1])
+                        held.append(signatures(elements, threshold_pct))
+                        owners.append(np.full(len(held[-1]), f1))
+                        size += len(held[-1])
+                ids = part.column("doc_id")
+                n, f1 = zip(*rows)
+                none = [pa.nulls(len(ids), pa.binary())] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - (x & 0xFF) for x in f1], pa.int32()), ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), *none], names)
+                if size >= HELD:
+                    yield deal()
+                    held, owners, size = [], [], 0
+        if held:
+            yield deal()
+
+    return docs.mapInArrow(run, "bucket int, doc_id long, n long, f1 long, signatures binary, nodes binary, hubs binary")
+
+
+def gather(dealt: DataFrame) -> DataFrame:
+    """Rows of documents as they are, and ``signature``, ``node``, ``hub`` of every signature that several sets share."""
+    names = ["doc_id", "n", "f1", "signature", "node", "hub"]
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket < 0:
+            rows = table.select(["doc_id", "n", "f1"])
+            none = pa.nulls(table.num_rows, pa.int64())
+            return pa.Table.from_arrays([*rows.columns, none, none, none], names)
+        node = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["nodes"]])
+        if bucket >= BUCKETS:
+            signature = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["signatures"]])
+            hub = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["hubs"]])
+        else:
+            signature = np.concatenate([_from_five_bytes(x.as_buffer(), bucket) for x in table["signatures"]])
+            node = node.view(np.int64)
+            order = np.lexsort((node, signature))
+            signature, node = signature[order], node[order]
+            new = np.append(True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1]))
+            signature, node = signature[new], node[new]
+            first = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+            size = np.diff(np.append(first, len(signature)))
+            hub, keep = np.repeat(node[first], size), np.repeat(size > 1, size)
+            signature, node, hub = signature[keep], node[keep], hub[keep]
+        none = pa.nulls(len(node), pa.int64())
+        return pa.Table.from_arrays([none, none, none, *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (signature, node, hub))], names)
+
+    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, n long, f1 long, signature long, node long, hub long")
+
+
+def scan_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node``, ``n``, ``sketch`` and ``elements`` (little-endian 64-bit numbers) of documents in ``wanted`` (``doc_id``, ``node``)."""
+    wanted = F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ea"), batch.column("eb")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= threshold_pct * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
-
+            for part in slices(batch, "text", HASH_BYTES):
+                sets = list(shingle_sets(*text_bytes(part.column("text")), words))
+                columns = [part.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "elements"])
 
-def _across(pairs: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    if parts is None:
-        return pairs
-    names = pairs.columns
-    x = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*names)
+    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, n long, sketch binary, elements binary")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, threshold_pct: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(scan_signatures(docs, words, threshold_pct), "signatures")
-    classes = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = signed.where("n > 0").select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep")
-    member = materialize(member.distinct(), "class-members")
-
-    each = signed.select(F.explode("signatures").alias("signature"), "doc_id", "f1")
-    groups = each.groupBy("signature").agg(F.min("doc_id").alias("hub"), F.min("f1").alias("low"), F.max("f1").alias("high"))
-    groups = groups.where("low <> high").select("signature", "hub")
-    of_doc = member.select("doc_id", F.col("rep").alias("a"))
-    shared = each.select("signature", "doc_id").join(groups, "signature").join(of_doc, "doc_id").where("doc_id = a")
-    of_hub = member.select(F.col("doc_id").alias("hub"), F.col("rep").alias("b"))
-    shared = materialize(shared.join(of_hub, "hub").select("signature", "a", "b"), "shared-signatures")
-    stars = shared.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    stars = materialize(stars, "hub-pairs")
-
-    # the sets of documents that share a signature with another class
-    wanted = materialize(shared.select(F.col("a").alias("doc_id")).distinct(), "candidates")
-    wanted_ids = F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted
-    sets = materialize(scan_sets(docs.join(wanted_ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "candidate-sets")
-
-    links, parts = None, None
-
-    def grow(pairs: DataFrame) -> None:
-        nonlocal links, parts
-        found = materialize(_verify(_sketch_filter(pairs, sets, threshold_pct), sets, threshold_pct), "links")
-        if parts is not None and found.isEmpty():
-            return
-        links = found if links is None else links.union(found)
-        parts = components(links)
-
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("common", -F.col("b"))).alias("b"))
-    grow(best)
-    grow(_across(stars.select("a", "b"), parts))
-
-    # what two hub rounds leave: groups with members in several components
-    placed = shared.select("signature", "a").join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("signature", "a", F.coalesce("component", "a").alias("c"))
-    mixed = placed.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("signature")
-    left = materialize(placed.join(mixed, "signature"), "mixed-groups")
-    other = left.select("signature", F.col("a").alias("b"), F.col("c").alias("d"))
-    grow(left.join(other, "signature").where("a < b and c <> d").select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-
-    label = parts.select(F.col("node").alias("rep"), "component")
-    whole = member.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(whole, "doc_id", "left")
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    for used in (shared, stars, wanted, sets, left):
-        discard(used)
+    rows = materialize(gather(scan_signatures(docs, words, threshold_pct)), "shared-signatures")
+    each = rows.where("signature is null").select("doc_id", "n", "f1")
+    shared = rows.where("signature is not null").select("signature", F.col("node").alias("a"), F.col("hub").alias("b"))
+    first = each.where("n > 0").groupBy(F.col("f1").alias("node")).agg(F.min("doc_id").alias("doc_id"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return scan_sets(docs, materialize(nodes.join(first, "node").select("doc_id", "node"), "candidates"), words)
+
+    parts = components_of(shared, sets_of, threshold_pct)
+    of_doc = each.join(parts.select(F.col("node").alias("f1"), "component"), "f1", "left").withColumn("component", F.coalesce("component", "f1"))
+    smallest = of_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = of_doc.join(smallest, "component", "left")
+    out = materialize(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")), "classes")
+    discard(rows)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import discard, materialize
+from marketloom.llm.common import discard, materialize, small_enough
 from marketloom.llm.components import components
 
 
@@ -53,6 +53,14 @@ def _pair_schema(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
 
+def _both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with what ``left`` has for ``a`` and ``right`` for ``b``. Few pairs are broadcast, so only what they need is moved, once."""
+    if small_enough(pairs, 500_000):
+        few = F.broadcast(pairs)
+        return left.join(few, "a").join(right.join(few, "b"), ["a", "b"])
+    return pairs.join(left, "a").join(right, "b")
+
+
 def sketch_filter(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs (``a``, ``b``) that sizes and sketches allow to be similar."""
 
@@ -66,7 +74,7 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> Data
 
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").where((F.col("na") * 100 >= F.col("nb") * threshold_pct) & (F.col("nb") * 100 >= F.col("na") * threshold_pct))
+    near = _both(pairs, left, right).where((F.col("na") * 100 >= F.col("nb") * threshold_pct) & (F.col("nb") * 100 >= F.col("na") * threshold_pct))
     return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, _pair_schema(pairs))
 
 
@@ -84,7 +92,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, _pair_schema(pairs))
+    return _both(pairs, left, right).select("a", "b", "ea", "eb").mapInArrow(run, _pair_schema(pairs))
 
 
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -95,22 +103,68 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
-    """``node`` and ``component``, the smallest node reachable by links, of every node of ``signed``.
+#: Members of a group that are compared at once.
+SIDE = 1024
 
-    ``signed``: one row for each set, written down, with ``node`` (any type that has an order), the class
-    fingerprints ``f1`` and ``f2`` and its ``signatures``. ``sets_of`` gives ``node``, ``n``, ``sketch`` and
-    ``elements`` (sorted distinct 64-bit hashes) of the nodes in a table that has a column ``node``.
-    """
-    classes = signed.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
-    member = materialize(signed.select("node", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("node", "rep"), "class-members")
 
-    each = signed.select(F.explode("signatures").alias("signature"), "node", "f1")
-    groups = each.groupBy("signature").agg(F.min("node").alias("hub"), F.min("f1").alias("low"), F.max("f1").alias("high"))
-    groups = groups.where("low <> high").select("signature", "hub")
-    shared = each.select("signature", "node").join(groups, "signature").join(member, "node").where(F.col("node") == F.col("rep"))
-    of_hub = member.select(F.col("node").alias("hub"), F.col("rep").alias("b"))
-    shared = materialize(shared.join(of_hub, "hub").select("signature", F.col("node").alias("a"), "b"), "shared-signatures")
+def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, nearest: bool = False) -> DataFrame:
+    """Pairs (``a``, ``b``) across components (``c``) of a ``signature`` group that sizes and sketches allow.
+
+    Members are dealt to blocks of about ``SIDE``, and a task compares two blocks by their sketches; a group with many
+    ``members`` is many tasks. Only the pairs that pass are ever rows; of them, with ``nearest``, one for each member and block.
+    """
+    kind = sets.schema["node"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        n, side = table["n"].to_numpy(), table["block"].to_numpy()
+        nodes, c = table["a"].combine_chunks(), table["c"].combine_chunks().dictionary_encode() if not pa.types.is_struct(table["c"].type) else None
+        code = np.asarray(c.indices) if c is not None else np.unique([str(x) for x in table["c"].to_pylist()], return_inverse=True)[1]
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]]
+        size = min(map(len, sketches))
+        folded = []
+        for x in sketches:
+            while len(x) > size:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            folded.append(x)
+        bits = np.stack(folded).view(np.uint64)
+        rows, columns = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, (4 << 20) // max(1, len(columns) * size))
+        for at in range(0, len(rows), step):
+            i = rows[at : at + step]
+            differ = np.bitwise_count(bits[i][:, None] ^ bits[columns][None]).sum(2, dtype=np.int64)
+            total = n[i][:, None] + n[columns][None]
+            fits = (differ <= total * (100 - threshold_pct) // (100 + threshold_pct)) & (code[i][:, None] != code[columns][None])
+            fits &= (n[i][:, None] * 100 >= n[columns][None] * threshold_pct) & (n[columns][None] * 100 >= n[i][:, None] * threshold_pct)
+            if nearest:
+                close = np.where(fits, differ, np.iinfo(np.int64).max)
+                x = np.flatnonzero(fits.any(1))
+                y = close.argmin(1)[x]
+                out.append((i[x], columns[y]))
+                continue
+            x, y = np.nonzero(fits)
+            keep = (side[i[x]] != side[columns[y]]) | (i[x] < columns[y])
+            out.append((i[x][keep], columns[y][keep]))
+        x, y = (np.concatenate(z) for z in zip(*out))
+        return pa.Table.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], ["a", "b"])
+
+    sketched = left.join(sets.select(F.col("node").alias("a"), "n", "sketch"), "a")
+    blocks = F.ceil(F.col("members") / SIDE).cast("int")
+    dealt = sketched.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    found = dealt.select("signature", "low", "high", "block", "a", "c", "n", "sketch").groupBy("signature", "low", "high").applyInArrow(run, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def components_of(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
+    """``node`` and ``component``, the smallest node reachable by links, of nodes that have any link.
+
+    ``shared``: a row for each ``signature`` and each class ``a`` (a node of any type that has an order) that
+    shares it with others; ``b`` is the group's smallest member, or the smallest of a part of it. ``sets_of``
+    gives ``node``, ``n``, ``sketch`` and ``elements`` (sorted distinct 64-bit hashes) of a table of nodes.
+    """
     stars = materialize(shared.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common")), "hub-pairs")
 
     wanted = materialize(shared.select(F.col("a").alias("node")).distinct(), "candidates")
@@ -120,7 +174,8 @@ def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     def grow(pairs: DataFrame) -> None:
         nonlocal links, parts
-        found = materialize(verify(sketch_filter(pairs, sets, threshold_pct), sets, threshold_pct), "links")
+        near = materialize(sketch_filter(materialize(pairs, "pairs"), sets, threshold_pct), "near-pairs")
+        found = materialize(verify(near, sets, threshold_pct), "links")
         if parts is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             parts = components(links)
@@ -128,17 +183,38 @@ def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     grow(stars.groupBy("a").agg(F.min_by("b", F.struct(-F.col("common"), F.col("b"))).alias("b")))
     grow(across(stars.select("a", "b"), parts))
 
-    # what two hub rounds leave: groups with members in several components
-    placed = shared.select("signature", "a").join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("signature", "a", F.coalesce("component", "a").alias("c"))
-    mixed = placed.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("signature")
-    left = materialize(placed.join(mixed, "signature"), "mixed-groups")
-    other = left.select("signature", F.col("a").alias("b"), F.col("c").alias("d"))
-    pairs = left.join(other, "signature").where("a < b and c <> d").select("a", "b").distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    grow(pairs.join(done, ["a", "b"], "left_anti"))
+    # what two hub rounds leave: groups with members in several components. First each member's nearest in another
+    # component, which joins most; then all pairs that may be similar and are still apart
+    for nearest in (True, False):
+        placed = shared.select("signature", "a").distinct().join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("signature", "a", F.coalesce("component", "a").alias("c"))
+        mixed = placed.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high").select("signature", "members")
+        left = materialize(placed.join(mixed, "signature"), "mixed-groups")
+        grow(near_pairs(left, sets, threshold_pct, nearest))
+        discard(left)
 
+    for used in (stars, wanted, sets):
+        discard(used)
+    return parts
+
+
+def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
+    """``node`` and ``component``, the smallest node reachable by links, of every node of ``signed``.
+
+    ``signed``: one row for each set, written down, with ``node``, the class fingerprints ``f1`` and ``f2`` and
+    its ``signatures``.
+    """
+    classes = signed.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
+    member = materialize(signed.select("node", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("node", "rep"), "class-members")
+
+    each = signed.select(F.explode("signatures").alias("signature"), "node", "f1")
+    groups = each.groupBy("signature").agg(F.min("node").alias("hub"), F.min("f1").alias("low"), F.max("f1").alias("high"))
+    groups = groups.where("low <> high").select("signature", "hub")
+    shared = each.select("signature", "node").join(groups, "signature").join(member, "node").where(F.col("node") == F.col("rep"))
+    of_hub = member.select(F.col("node").alias("hub"), F.col("rep").alias("b"))
+    shared = materialize(shared.join(of_hub, "hub").select("signature", F.col("node").alias("a"), "b"), "shared-signatures")
+    parts = components_of(shared, sets_of, threshold_pct)
     label = parts.select(F.col("node").alias("rep"), "component")
     out = materialize(member.join(label, "rep", "left").select("node", F.coalesce("component", "rep").alias("component")), "groups")
-    for used in (member, shared, stars, wanted, sets, left):
-        discard(used)
+    discard(member)
+    discard(shared)
     return out
