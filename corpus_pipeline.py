@@ -26,8 +26,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8)."""
     groups = jaccard_components(docs, words=5, threshold_pct=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    # few ids are broadcast, so that no text is shuffled; of many, the texts are joined with them
+    gone = F.broadcast(gone) if common.small_enough(gone, 1_000_000) else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
