@@ -39,6 +39,8 @@ LAG = 32
 WINDOWS = {8: 1.0, 64: 3.0}
 SMOOTHING = 3.0
 BINS = 1024
+#: Text handled at once; scoring holds several 64-bit numbers for each byte.
+SCORE_BYTES = 2 << 20
 
 
 def gram_features(data, offsets) -> tuple:
@@ -75,7 +77,7 @@ def count_grams(df: DataFrame) -> DataFrame:
 
         raw, target = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SCORE_BYTES):
                 data, offsets = text_bytes(part.column("text"))
                 feature, valid = gram_features(data, offsets)
                 raw += np.bincount(feature[valid], minlength=FEATURES)
@@ -110,7 +112,7 @@ def score(df: DataFrame, ratios) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SCORE_BYTES):
                 data, offsets = text_bytes(part.column("text"))
                 feature, valid = gram_features(data, offsets)
                 sums = np.concatenate(([0.0], np.cumsum(np.where(valid, ratios[feature], 0.0), dtype=np.float64)))
