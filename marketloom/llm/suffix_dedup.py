@@ -40,7 +40,7 @@ from marketloom.llm.common import discard, materialize, slices, small_enough, te
 from marketloom.llm.jaccard_join import _powers, mix
 
 BLOCK = 32
-SLICE = 4 << 20
+SLICE = 1 << 20
 _PLACE = 23  # bits of a place in a slice; longer texts take more
 _CODES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _POWERS: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
@@ -114,7 +114,7 @@ def scan_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def compare_neighbours(ordered: DataFrame) -> DataFrame:
-    """Rows of a sorted bucket that repeat (``dup``), share an anchor string with others (``multi``) or touch the bucket's edge."""
+    """Rows of a sorted bucket that repeat (``dup``), share an anchor string with others (``multi``) or begin a run at the bucket's edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -126,7 +126,8 @@ def compare_neighbours(ordered: DataFrame) -> DataFrame:
         run_g, run_f = np.cumsum(new_g) - 1, np.cumsum(new_f) - 1
         dup = np.bincount(run_f)[run_f] > 1
         multi = np.bincount(run_g[new_f])[run_g] > 1
-        edge = (run_g == 0) | (run_g == run_g[-1])
+        # one row of each run stands for it across the edges: where a run has more, they are known to repeat
+        edge = ((run_g == 0) | (run_g == run_g[-1])) & new_f
         keep = pa.array(dup | multi | edge)
         out = rows.drop_columns(["lead"])
         for name, flag in (("dup", dup), ("multi", multi), ("edge", edge)):
