@@ -124,7 +124,7 @@ def scan_sets(docs: DataFrame, wanted: DataFrame, words: int, least: int) -> Dat
                 columns = [_node(part.column("doc_id"), row[keep], line[keep]), pa.array([len(x) for x in sets], pa.int64()), pa.array([odd_sketch(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "elements"])
 
-    return docs.join(lines, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, f"{NODE}, n long, sketch binary, elements binary").dropDuplicates(["node"])
+    return docs.join(lines, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, f"{NODE}, n long, sketch binary, elements binary")
 
 
 def paragraph_groups(docs: DataFrame, words: int = 5, threshold_pct: int = 80, min_words: int = 20, miss: float = 1e-3) -> DataFrame:
