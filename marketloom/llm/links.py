@@ -218,3 +218,13 @@ def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     discard(member)
     discard(shared)
     return out
+
+
+def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
+    """``node`` and ``component`` of the ``classes`` that have any link: one row for each set that occurs, written down, with ``node`` and its ``signatures``."""
+    each = classes.select(F.explode("signatures").alias("signature"), F.col("node").alias("a")).distinct()
+    groups = each.groupBy("signature").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("signature", "b")
+    shared = materialize(each.join(groups, "signature"), "shared-signatures")
+    parts = components_of(shared, sets_of, threshold_pct)
+    discard(shared)
+    return parts

@@ -3,11 +3,13 @@
 A paragraph is a line of a text. Paragraphs of at least ``min_words`` words are sets of word shingles
 (A-Z as a-z). Bands of MinHash values are tuned for recall: of all ways to split up to ``MOST_HASHES``
 values, the one with the fewest bands whose chance to miss a pair at the threshold is at most ``miss``.
-Paragraphs that share a band are verified by exact Jaccard similarity (:mod:`links`), linked paragraphs form
-components, and each component keeps its first paragraph, by document and line; the others are removed.
+Paragraphs of the same words are one class, of which only the first is banded, so a line that stands in many
+documents costs no more than one. Classes that share a band are verified by exact Jaccard similarity
+(:mod:`links`), linked classes form components, and each component keeps its first paragraph, by document and
+line; the others are removed.
 
-Cases: null and empty texts have no paragraphs. Paragraphs with fewer words are never removed; a minimum
-below the shingle size is raised to it. A paragraph repeated inside one document is removed there too.
+Cases: null and empty texts have no paragraphs. The minimum is the shingle size (and is raised to it): a line
+with fewer words has no shingle and is never removed. A paragraph repeated inside one document is removed there too.
 Repeated rows with the same id count as one document. Empty tables give empty results.
 """
 
@@ -20,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialize, slices, small_enough, text_bytes
+from marketloom.llm.common import discard, materialize, slices, small_enough, text_bytes
 from marketloom.llm.jaccard_join import HASH_BYTES, mix, word_hashes
-from marketloom.llm.links import linked_groups, odd_sketch
+from marketloom.llm.links import linked_classes, odd_sketch
 
 MOST_HASHES = 128
 
@@ -127,13 +129,20 @@ def scan_sets(docs: DataFrame, wanted: DataFrame, words: int, least: int) -> Dat
     return docs.join(lines, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, f"{NODE}, n long, sketch binary, elements binary")
 
 
-def paragraph_groups(docs: DataFrame, words: int = 5, threshold_pct: int = 80, min_words: int = 20, miss: float = 1e-3) -> DataFrame:
+def paragraph_groups(docs: DataFrame, words: int = 5, threshold_pct: int = 80, min_words: int = 5, miss: float = 1e-3) -> DataFrame:
     """``doc_id``, ``line``, ``n_chars``, ``first_doc`` and ``first_line`` of every paragraph that is compared."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = materialize(scan_paragraphs(docs, words, threshold_pct, min_words, miss), "paragraphs")
-    groups = linked_groups(signed, lambda wanted: scan_sets(docs, wanted, words, min_words), threshold_pct)
-    chars = signed.groupBy("node").agg(F.max("n_chars").alias("n_chars"))
-    return chars.join(groups, "node").select("node.doc_id", "node.line", "n_chars", F.col("component.doc_id").alias("first_doc"), F.col("component.line").alias("first_line"))
+    first = signed.groupBy("f1", "f2").agg(F.min(F.struct("node", "signatures")).alias("first"))
+    classes = materialize(first.select("f1", "f2", "first.node", "first.signatures"), "classes")
+    parts = linked_classes(classes, lambda wanted: scan_sets(docs, wanted, words, min_words), threshold_pct)
+    label = classes.select("f1", "f2", "node").join(parts, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
+    # rows with the same id are one document: of one node the longest text, the first component
+    each = signed.select("node", "f1", "f2", "n_chars").join(label, ["f1", "f2"]).groupBy("node").agg(F.max("n_chars").alias("n_chars"), F.min("component").alias("component"))
+    out = materialize(each.select("node.doc_id", "node.line", "n_chars", F.col("component.doc_id").alias("first_doc"), F.col("component.line").alias("first_line")), "groups")
+    discard(signed)
+    discard(classes)
+    return out
 
 
 def removals(groups: DataFrame) -> DataFrame:

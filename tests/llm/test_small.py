@@ -132,6 +132,16 @@ def test_paragraph_dedup(spark):
     assert got == {0: (0, [], []), 1: (0, [], []), 2: (0, [], []), 3: (1, [0], [0]), 4: (1, [0], [0]), 5: (2, [0, 1], [4])}
 
 
+def test_paragraphs_of_few_words(spark):
+    from marketloom.llm.paragraph_dedup import paragraph_dedup
+
+    eight, five = "please read our privacy policy before you continue", "all rights reserved by us"
+    nine = eight + " today"
+    rows = [eight, "four words are kept\n" + five, "four words are kept\n" + eight.upper(), five + "\n  " + eight, nine, five[:-2] + "them\nall rights reserved"]
+    got = {r.doc_id: (r.removed_lines, r.n_removed_chars, r.kept_in) for r in paragraph_dedup(docs(spark, rows)).collect()}
+    assert got == {0: ([], 0, []), 1: ([], 0, []), 2: ([1], len(eight), [0]), 3: ([0, 1], len(five) + 2 + len(eight), [0, 1]), 4: ([0], len(nine), [0]), 5: ([], 0, [])}
+
+
 def test_decontaminate(spark):
     from marketloom.llm.decontaminate import drop_contaminated, find_items
 
