@@ -15,7 +15,7 @@ from marketloom.operators import alerts as A
 from marketloom.operators.classify import classify
 from marketloom.operators.commands import fold_commands, mileage_bound, price_bounds
 from marketloom.operators.dedup import deduplicate, earliest, first_seen
-from marketloom.operators.history import fold_prices, price_actions, version_rows
+from marketloom.operators.history import fold_prices, price_actions, version_rows, with_price_drops
 from marketloom.operators.quality import delete_listings, insert_absent, orphans, repeated_keys, upsert, violations
 from marketloom.operators.stats import market_overview, market_peers, market_price, seller_counts, source_counts, top_models
 from marketloom.operators.telemetry import COUNTERS, failure_islands, run_counters, totals, until_stopped
@@ -338,9 +338,12 @@ def _price_text(spark, sf):
 
 @query("alert_feed")
 def _alert_feed(spark, sf):
-    at = deduplicate(_dedup_rows(spark, sf), ORDER).withColumns({"is_price_drop": F.lit(False), "images": F.lit(None).cast("array<string>")})
-    rows = A.alert_columns(seller_counts(market_peers(A.alert_gate(at))))
-    return rows.select(*_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery"), F.col("market.pct").alias("below_pct"))
+    none = F.lit(None).cast("string")
+    at = with_price_drops(deduplicate(_dedup_rows(spark, sf), ORDER), ["source", "source_id"], ORDER)
+    at = at.withColumns({"images": F.lit(None).cast("array<string>"), "id": F.xxhash64(*_ids()), "engine": F.lit("1.8T 150"), "engine_code": F.lit("1.8T"), "description": none})
+    rows = A.alert_columns(match_users(A.alert_gate(seller_counts(market_peers(at))), user_filters(spark, sf)))
+    drop = A.price_drop_badge(F.col("price_usd"), F.col("price_diff"))
+    return rows.select("chat_id", *_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery"), F.col("market.pct").alias("below_pct"), "is_price_drop", "price_diff", drop["pct"].alias("drop_pct"))
 
 
 @query("send_once", "SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 1 AND event_id < 500)")
