@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,17 +36,10 @@ def contains_any(col: Column, words: list[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def _nfkc() -> callable:
-    @F.pandas_udf("string")
-    def nfkc(text: pd.Series) -> pd.Series:
-        return text.str.normalize("NFKC")
-
-    return nfkc
-
-
 def nfkc(col: Column) -> Column:
-    """Unicode NFKC. Spark has no such function, so text outside ASCII goes through one Arrow UDF."""
-    return _nfkc()(col)
+    """Unicode NFKC of text outside ASCII, by the ICU library that Spark ships; it leaves ASCII as it is."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    return F.when(col.rlike("[^\\x00-\\x7F]"), composed).otherwise(col)
 
 
 def clean_text(col: Column, compatibility: bool = True) -> Column:
