@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketloom.functions.canonical import let
 from marketloom.functions.text import matches, pattern
+from marketloom.operators.history import in_key_order, key_starts, last_key
 from marketloom.schema import FILTER_DEFAULTS
 
 #: Texts that lift a bound, words of mileage, presets and keyboard codes.
@@ -128,42 +133,60 @@ def fold_commands(log: DataFrame) -> DataFrame:
     set_body, set_year, toggle_cond, reset_price, reset_mileage, action_reset; others change nothing.
     """
     parsed = log.withColumn("i", F.when(F.col("kind") == "text", intent(F.col("arg"))))
-    # the intent is computed where the rows are, before they are gathered by user
-    rows = parsed.groupBy("chat_id").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "arg", "i"))).alias("log"))
-    start = F.struct(*[v.alias(c) for c, v in defaults().items()])
-
-    def code(mapping: dict[str, str], arg: Column) -> Column:
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in mapping.items() for x in p]), arg), arg)
-
-    def toggled(now: Column, item: Column) -> Column:
-        return F.when(~F.array_contains(now, item), F.array_append(now, item)).when(F.size(now) == 1, now).otherwise(F.array_remove(now, item))
-
-    def step(acc: Column, x: Column) -> Column:
-        kind, arg, i = x["kind"], x["arg"], x["i"]
-        preset = {k: v for k, v in YEAR_PRESETS.items()}
-        low, high = F.lit(ALL_YEARS[0]), F.lit(ALL_YEARS[1])
-        for name, (a, b) in preset.items():
-            low, high = F.when(arg == name, a).otherwise(low), F.when(arg == name, b).otherwise(high)
-        price = (kind == "text") & (i["op"] == "set_price")
-        mileage = (kind == "text") & (i["op"] == "set_mileage")
-        null = F.lit(None).cast("int")
-        base = defaults()
-        new = {
-            "selected_models": F.when(kind == "toggle_model", toggled(acc["selected_models"], code(MODEL_CODES, arg))).otherwise(acc["selected_models"]),
-            "engines": F.when(kind == "toggle_eng", toggled(acc["engines"], code(ENGINE_CODES, arg))).otherwise(acc["engines"]),
-            "min_price": F.when(price, i["min_price"]).when(kind == "reset_price", null).otherwise(acc["min_price"]),
-            "max_price": F.when(price, i["max_price"]).when(kind == "reset_price", null).otherwise(acc["max_price"]),
-            "min_year": F.when(kind == "set_year", low).otherwise(acc["min_year"]),
-            "max_year": F.when(kind == "set_year", high).otherwise(acc["max_year"]),
-            "max_mileage": F.when(mileage, i["max_mileage"]).when(kind == "reset_mileage", null).otherwise(acc["max_mileage"]),
-            "transmission": F.when(kind == "set_trans", arg).otherwise(acc["transmission"]),
-            "drive_type": F.when(kind == "set_drive", arg).otherwise(acc["drive_type"]),
-            "body_type": F.when(kind == "set_body", arg).otherwise(acc["body_type"]),
-            "exclude_damaged": F.when(kind == "toggle_cond", ~acc["exclude_damaged"]).otherwise(acc["exclude_damaged"]),
-        }
-        return F.struct(*[F.when(kind == "action_reset", base[c]).otherwise(v).alias(c) for c, v in new.items()])
-
-    return rows.select("chat_id", F.aggregate("log", start, step).alias("f")).select("chat_id", "f.*")
+    # the intent is computed where the rows are, before they are brought together by user
+    source = in_key_order(parsed.select("chat_id", "seq", "kind", "arg", "i"), ["chat_id"], ["seq", "kind", "arg"])
+    fields = parsed.select("chat_id").limit(0).withColumns(defaults()).schema
+
+    def step(now: dict, kind: str | None, arg: str | None, i: dict | None) -> dict:
+        if kind == "action_reset":
+            return dict(FILTER_DEFAULTS)
+        if kind in ("toggle_model", "toggle_eng"):
+            name, codes = ("selected_models", MODEL_CODES) if kind == "toggle_model" else ("engines", ENGINE_CODES)
+            item, have = codes.get(arg, arg), now[name]
+            if item not in have:
+                return now | {name: [*have, item]}
+            return now if len(have) == 1 else now | {name: [x for x in have if x != item]}
+        if kind == "set_year":
+            low, high = YEAR_PRESETS.get(arg, ALL_YEARS)
+            return now | {"min_year": low, "max_year": high}
+        if kind == "text" and i["op"] == "set_price":
+            return now | {"min_price": i["min_price"], "max_price": i["max_price"]}
+        if kind == "text" and i["op"] == "set_mileage":
+            return now | {"max_mileage": i["max_mileage"]}
+        lifted = {"reset_price": {"min_price": None, "max_price": None}, "reset_mileage": {"max_mileage": None}}
+        if kind in lifted:
+            return now | lifted[kind]
+        chosen = {"set_trans": "transmission", "set_drive": "drive_type", "set_body": "body_type"}
+        if kind in chosen:
+            return now | {chosen[kind]: arg}
+        return now | {"exclude_damaged": not now["exclude_damaged"]} if kind == "toggle_cond" else now
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, chat, now = None, None, None
+        names = [f.name for f in fields]
+        kinds = to_arrow_schema(fields)
+
+        def rows(done: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], kinds.field(n).type) for n in names], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = []
+            columns = (batch.column(c).to_pylist() for c in ("chat_id", "kind", "arg", "i"))
+            for new, who, kind, arg, i in zip(key_starts(batch, last), *columns):
+                if new:
+                    if now is not None:
+                        done.append({"chat_id": chat} | now)
+                    chat, now = who, dict(FILTER_DEFAULTS)
+                now = step(now, kind, arg, i)
+            last = last_key(batch)
+            if done:
+                yield rows(done)
+        if now is not None:
+            yield rows([{"chat_id": chat} | now])
+
+    return source.mapInArrow(run, fields)
 
 
 def get_or_create(filters: DataFrame, chats: DataFrame) -> DataFrame:

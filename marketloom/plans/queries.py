@@ -15,7 +15,7 @@ from marketloom.operators import alerts as A
 from marketloom.operators.classify import classify
 from marketloom.operators.commands import fold_commands, mileage_bound, price_bounds
 from marketloom.operators.dedup import deduplicate, earliest, first_seen
-from marketloom.operators.history import fold_prices, price_actions, version_rows, with_price_drops
+from marketloom.operators.history import current_rows, fold_prices, price_actions, version_rows, with_price_drops
 from marketloom.operators.quality import delete_listings, insert_absent, orphans, repeated_keys, upsert, violations
 from marketloom.operators.stats import market_overview, market_peers, market_price, seller_counts, source_counts, top_models
 from marketloom.operators.telemetry import COUNTERS, failure_islands, run_counters, totals, until_stopped
@@ -306,7 +306,7 @@ def _price_history(spark, sf):
 
 @query("current_prices", PRICES_SQL + "SELECT user_id, event_type, arg_max(price, rn)::DOUBLE AS current_price, max(rn) AS n_observations, arg_max(event_id, rn) AS last_event FROM (SELECT user_id, event_type, rn, event_id, price FROM s) GROUP BY ALL")
 def _current(spark, sf):
-    at = _history(spark, sf)
+    at = current_rows(_history(spark, sf), ["user_id", "event_type"])
     return at.select("user_id", "event_type", F.col("current_price").cast("double").alias("current_price"), F.col("n_observations").cast("long").alias("n_observations"), F.col("last_seen.event_id").alias("last_event"))
 
 
