@@ -241,12 +241,15 @@ def _upsert(spark, sf):
     return upsert(store, changes, "o_orderkey")
 
 
-@query("seed_sources", "SELECT DISTINCT lower(r_name) AS id, 'seed' AS origin FROM region WHERE r_regionkey < 3 UNION ALL SELECT DISTINCT lower(r_name), 'new' FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey >= 3")
+HOST_SQL = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+
+
+@query("seed_sources", f"""WITH s AS (SELECT DISTINCT {HOST_SQL} AS id FROM pages WHERE starts_with(url, 'https:'))
+SELECT id, 'seed' AS origin FROM s UNION ALL SELECT DISTINCT {HOST_SQL}, 'new' FROM pages WHERE {HOST_SQL} NOT IN (SELECT id FROM s)""")
 def _seed(spark, sf):
-    region = table(spark, sf, "region")
-    have = region.where("r_regionkey < 3").select(F.lower("r_name").alias("id"), F.lit("seed").alias("origin"))
-    rows = region.join(table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("id"), F.lit("new").alias("origin"))
-    return insert_absent(have, rows, "id")
+    hosts = table(spark, sf, "pages").select("url", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("id"))
+    have = hosts.where(F.startswith("url", F.lit("https:"))).select("id", F.lit("seed").alias("origin")).distinct()
+    return insert_absent(have, hosts.select("id", F.lit("new").alias("origin")), "id")
 
 
 # --- duplicates and history -----------------------------------------------------------------------------------------
@@ -322,9 +325,9 @@ def _below(spark, sf):
     return badge.where("b is not null").select(*_ids(), F.col("b.amount").cast("double").alias("amount"))
 
 
-@query("seller_badge", """WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey % 101 = 0 GROUP BY ALL) SELECT l_suppkey, n, CASE WHEN n >= 3 THEN 'dealer' WHEN n = 1 THEN 'private' END AS badge FROM s""")
+@query("seller_badge", """WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey, n, CASE WHEN n >= 3 THEN 'dealer' WHEN n = 1 THEN 'private' END AS badge FROM s""")
 def _badge(spark, sf):
-    at = table(spark, sf, "lineitem").where("l_orderkey % 101 = 0").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    at = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return at.withColumn("badge", A.seller_badge(F.col("n")))
 
 
@@ -346,11 +349,11 @@ def _alert_feed(spark, sf):
     return rows.select("chat_id", *_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery"), F.col("market.pct").alias("below_pct"), "is_price_drop", "price_diff", drop["pct"].alias("drop_pct"))
 
 
-@query("send_once", "SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 1 AND event_id < 500)")
+@query("send_once", "SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_type = 'error' OR value > 60)")
 def _send_once(spark, sf):
     events = table(spark, sf, "events")
-    sent = events.where("event_id % 2 = 1 and event_id < 500").select("user_id", "event_type").distinct()
-    return A.send_once(events.where("event_id % 2 = 0").select("user_id", "event_type"), sent, ("user_id", "event_type"))
+    sent = events.where("event_type = 'error' or value > 60").select("user_id", "event_type").distinct()
+    return A.send_once(events.select("user_id", "event_type"), sent, ("user_id", "event_type"))
 
 
 # --- users ----------------------------------------------------------------------------------------------------------
