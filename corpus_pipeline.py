@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import common
 from marketloom.llm.decontaminate import drop_contaminated
-from marketloom.llm.jaccard_join import jaccard_components
+from marketloom.llm.jaccard_join import drop_near_duplicates
 from marketloom.llm.packing import pack
 from marketloom.llm.quality_classifier import keep_good
 from marketloom.llm.suffix_dedup import remove_spans, repeated_spans
@@ -24,14 +24,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8)."""
-    groups = jaccard_components(docs, words=5, threshold_pct=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    # few ids are broadcast, so that no text is shuffled; of many, the texts are joined with them
-    gone = F.broadcast(gone) if common.small_enough(gone, 1_000_000) else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates (five-word shingles, 0.8): that of the smallest id.
+
+    Documents without words are no duplicates and stay; documents without an id are compared like others. Rows equal in
+    id and text count as copies; different texts under one id are judged each on its own.
+    """
+    return drop_near_duplicates(docs, words=5, threshold_pct=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handled at once inside a task; longer batches are cut into slices of whole rows.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of the rows that Spark hands to Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let rows reach Python in batches of at most ``BATCH_BYTES``, whatever their texts' lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # a size with another unit is the user's own
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like ``checkpoint()``, but as compressed Parquet that survives lost executors.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -59,6 +78,7 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -105,56 +105,109 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 #: Members of a group that are compared at once.
 SIDE = 1024
+#: Comparisons of two sketches that a task is given, about.
+TASK_COMPARISONS = 20_000_000
+
+
+def _stack(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches of one group as rows of 64-bit words, all folded to the shortest."""
+    least = int(size.min())
+    out = np.empty((len(size), least), np.uint8)
+    for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist())):
+        x = data[a : a + n]
+        while n > least:  # buckets are low bits of the hash
+            n //= 2
+            x = x[:n] ^ x[n:]
+        out[i] = x
+    return out.view(np.uint64)
+
+
+def _compare(bits: np.ndarray, n: np.ndarray, code: np.ndarray, side: np.ndarray, threshold_pct: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (two blocks, or one with itself) across components that sizes and sketches allow."""
+    rows, columns = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 19) // max(1, len(columns) * bits.shape[1]))
+    for at in range(0, len(rows), step):
+        i = rows[at : at + step]
+        total = n[i][:, None] + n[columns][None]
+        fits = (code[i][:, None] != code[columns][None]) & (n[i][:, None] * 100 >= n[columns][None] * threshold_pct) & (n[columns][None] * 100 >= n[i][:, None] * threshold_pct)
+        if not fits.any():
+            continue
+        differ = np.bitwise_count(bits[i][:, None] ^ bits[columns][None]).sum(2, dtype=np.int64)
+        fits &= differ <= total * (100 - threshold_pct) // (100 + threshold_pct)
+        if nearest:
+            close = np.where(fits, differ, np.iinfo(np.int64).max)
+            x = np.flatnonzero(fits.any(1))
+            out.append((i[x], columns[close.argmin(1)[x]]))
+            continue
+        x, y = np.nonzero(fits)
+        keep = (side[i[x]] != side[columns[y]]) | (i[x] < columns[y])
+        out.append((i[x][keep], columns[y][keep]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, nearest: bool = False) -> DataFrame:
     """Pairs (``a``, ``b``) across components (``c``) of a ``signature`` group that sizes and sketches allow.
 
-    Members are dealt to blocks of about ``SIDE``, and a task compares two blocks by their sketches; a group with many
-    ``members`` is many tasks. Only the pairs that pass are ever rows; of them, with ``nearest``, one for each member and block.
+    Members are dealt to blocks of about ``SIDE``; two blocks are compared by their sketches, and a group with many
+    ``members`` is many tasks: partitions are as many as the comparisons ask for. Rows stream in order of their group, so a
+    task holds two blocks at a time. Only the pairs that pass are ever rows; with ``nearest``, one for each member and block.
     """
     kind = sets.schema["node"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    keys = ("signature", "low", "high")
 
-    def run(table: pa.Table) -> pa.Table:
-        n, side = table["n"].to_numpy(), table["block"].to_numpy()
-        nodes, c = table["a"].combine_chunks(), table["c"].combine_chunks().dictionary_encode() if not pa.types.is_struct(table["c"].type) else None
-        code = np.asarray(c.indices) if c is not None else np.unique([str(x) for x in table["c"].to_pylist()], return_inverse=True)[1]
-        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["sketch"]]
-        size = min(map(len, sketches))
-        folded = []
-        for x in sketches:
-            while len(x) > size:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            folded.append(x)
-        bits = np.stack(folded).view(np.uint64)
-        rows, columns = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, (4 << 20) // max(1, len(columns) * size))
-        for at in range(0, len(rows), step):
-            i = rows[at : at + step]
-            differ = np.bitwise_count(bits[i][:, None] ^ bits[columns][None]).sum(2, dtype=np.int64)
-            total = n[i][:, None] + n[columns][None]
-            fits = (differ <= total * (100 - threshold_pct) // (100 + threshold_pct)) & (code[i][:, None] != code[columns][None])
-            fits &= (n[i][:, None] * 100 >= n[columns][None] * threshold_pct) & (n[columns][None] * 100 >= n[i][:, None] * threshold_pct)
-            if nearest:
-                close = np.where(fits, differ, np.iinfo(np.int64).max)
-                x = np.flatnonzero(fits.any(1))
-                y = close.argmin(1)[x]
-                out.append((i[x], columns[y]))
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Rows of whole groups and where each begins (with the end)."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(k).to_numpy() for k in keys]
+            if last is not None and last == tuple(k[-1] for k in key) and all((k == k[0]).all() for k in key):
+                held.append(batch)
                 continue
-            x, y = np.nonzero(fits)
-            keep = (side[i[x]] != side[columns[y]]) | (i[x] < columns[y])
-            out.append((i[x][keep], columns[y][keep]))
-        x, y = (np.concatenate(z) for z in zip(*out))
-        return pa.Table.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], ["a", "b"])
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+            key = [rows[k].to_numpy() for k in keys]
+            first = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])))
+            if len(first) > 1:
+                yield rows.slice(0, int(first[-1])), first
+            held, last = rows.slice(int(first[-1])).to_batches(), tuple(k[-1] for k in key)
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield rows, np.array([0, rows.num_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in groups(batches):
+            rows = rows.combine_chunks()
+            n, code, side = (rows[c].to_numpy() for c in ("n", "c", "block"))
+            sketch = rows["sketch"].combine_chunks()
+            sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
+            ends = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset : sketch.offset + len(sketch) + 1].astype(np.int64)
+            data = np.frombuffer(sketch.buffers()[2], np.uint8)
+            found = []
+            for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+                if z - a < 2 or (code[a:z] == code[a]).all():
+                    continue
+                x, y = _compare(_stack(data, ends[a:z], ends[a + 1 : z + 1] - ends[a:z]), n[a:z], code[a:z], side[a:z], threshold_pct, nearest)
+                if len(x):
+                    found.append((x + a, y + a))
+            if found:
+                x, y = (np.concatenate(v) for v in zip(*found))
+                nodes = rows["a"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], ["a", "b"])
 
     sketched = left.join(sets.select(F.col("node").alias("a"), "n", "sketch"), "a")
     blocks = F.ceil(F.col("members") / SIDE).cast("int")
     dealt = sketched.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    found = dealt.select("signature", "low", "high", "block", "a", "c", "n", "sketch").groupBy("signature", "low", "high").applyInArrow(run, schema)
+    work = left.select("signature", "members").distinct().agg(F.sum(F.col("members") * F.col("members") / 2.0)).first()[0] or 0
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(work / TASK_COMPARISONS, 100_000)))
+    # components are only told apart, so a hash of theirs will do
+    dealt = dealt.select(*keys, "block", "a", F.xxhash64("c").alias("c"), F.col("n").cast("long").alias("n"), "sketch")
+    found = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
