@@ -24,7 +24,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,29 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import simple8b
 from marketloom.llm.common import pre_tokens, slices, text_bytes
+from marketloom.llm.jaccard_join import mix
 
 MAGIC = b"S8T1"
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 2 << 20
-#: Distinct pre-tokens that one Python worker remembers; a bound on memory, not on results.
-REMEMBERED = 300_000
+#: Distinct pre-tokens that one Python worker remembers, about 50 bytes each; a bound on memory, not on results.
+REMEMBERED = 1_500_000
+#: Words that the library encodes as one text.
+JOINED = 2_000
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_CODES = np.random.default_rng(13).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_POWER: dict[bool, np.ndarray] = {}
+
+
+def _powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2**64."""
+    known = _POWER.get(inverse)
+    if known is None or len(known) < n:
+        base = np.full(max(n, 1), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        base[0] = 1
+        known = _POWER[inverse] = np.multiply.accumulate(base)
+    return known[:n]
 
 
 class WordEncoder:
@@ -46,8 +62,9 @@ class WordEncoder:
 
     Texts are cut where the tokenizer's own normaliser and splitting pattern start anew in any case:
     at white space, and between an ASCII or Latin-1 letter and what is neither letter nor white space
-    (but not before a letter, as an apostrophe may join it). Each distinct pre-token of a slice is
-    encoded once by the library. Texts with a special token's string are encoded whole.
+    (but not before a letter, as an apostrophe may join it). Each distinct pre-token of a slice that is not
+    remembered is encoded by the library; words of ASCII letters many at a time, as their last token tells where each
+    ends. Texts with a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,31 +74,75 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-        letter = np.zeros(256, bool)
-        letter[[*range(65, 91), *range(97, 123)]] = True
-        self.letter = letter
-        space = np.zeros(256, bool)
-        space[[0x20, *range(0x09, 0x0E)]] = True
-        self.space = space
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # kinds of bytes: 0 others of ASCII, 1 white space, 2 letters, 3 parts of other characters
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[0x20, *range(0x09, 0x0E)]] = 1
+        self.kind[[*range(65, 91), *range(97, 123)]] = 2
+        self.kind[128:] = 3
+        # whether a pre-token begins at a byte, by the kinds of the byte before and its own
+        self.begins = np.zeros(16, bool)
+        self.begins[[4 * 1 + 0, 4 * 1 + 2, 4 * 1 + 3, 4 * 2 + 0]] = True
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         self.lower = lower
+        self.keys = np.zeros((0, 2), np.uint64)  # of what is remembered, by rising first key: two hashes
+        self.place = np.zeros((0, 2), np.int64)  # and where its ids begin and how many they are
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lookup(self, words: list[str]) -> list[list[int]]:
-        known = self.known
-        found = [known.get(w) for w in words]
-        todo = [i for i, x in enumerate(found) if x is None]
-        for lo in range(0, len(todo), 20_000):
-            some = todo[lo : lo + 20_000]
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids of each)."""
+        sizes, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.strip(" \t\n\v\f\r").isalpha()] if self.ends_word.any() else []
+        rest = set(range(len(words)))
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(group) or len(ids) != ends[-1]:
+                continue  # they are not one piece each after all
+            for i, a, b in zip(group, np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                parts[i] = ids[a:b]
+                sizes[i] = b - a
+            rest.difference_update(group)
+        left = sorted(rest)
+        for lo in range(0, len(left), 20_000):
+            some = left[lo : lo + 20_000]
             for i, ids in zip(some, self._encode([words[i] for i in some])):
-                found[i] = ids
-                if len(known) < REMEMBERED and len(words[i]) < 40:
-                    known[words[i]] = ids
-        return found
+                parts[i] = np.array(ids, np.uint32)
+                sizes[i] = len(ids)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), sizes
+
+    def _lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin among them, and how many they are) of distinct words."""
+        data, offsets = text_bytes(words)
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[data] * _powers(len(data)), dtype=np.uint64))) for codes in _CODES]
+        back = _powers(len(data) + 1, inverse=True)[offsets[:-1]]
+        size = np.diff(offsets).astype(np.uint64)
+        keys = np.stack([mix((x[offsets[1:]] - x[offsets[:-1]]) * back + size) for x in sums], 1)
+        at = np.minimum(np.searchsorted(self.keys[:, 0], keys[:, 0]), max(len(self.keys) - 1, 0))
+        known = (self.keys[at] == keys).all(1) if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        ids, sizes = self._encode_words(words.take(pa.array(new)).to_pylist())
+        begins, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if known.any():
+            begins[known], counts[known] = self.place[at[known]].T
+        flat = np.concatenate((self.ids, ids))
+        begins[new], counts[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        if len(self.keys) + len(new) <= REMEMBERED:
+            self.ids = flat
+            order = new[np.argsort(keys[new, 0], kind="stable")]
+            where = np.searchsorted(self.keys[:, 0], keys[order, 0])
+            self.keys = np.insert(self.keys, where, keys[order], 0)
+            self.place = np.insert(self.place, where, np.stack([begins[order], counts[order]], 1), 0)
+        return flat, begins, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets)."""
@@ -104,20 +165,18 @@ class WordEncoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        space, letter = self.space[data], self.letter[data]
-        latin = np.zeros(len(data), bool)  # the second byte of a Latin-1 letter
-        latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-        other = ~space & ~letter & (data < 0x80)
+        kind = self.kind[data]
         cut = np.zeros(len(data), bool)
-        cut[1:] = space[:-1] | space[1:] | (letter[:-1] | latin[:-1]) & other[1:]
+        cut[1:] = self.begins[kind[:-1] << 2 | kind[1:]]
+        # the two bytes of a Latin-1 letter, before what is no letter
+        c3 = np.flatnonzero(data[:-2] == 0xC3)
+        second = data[c3 + 1]
+        cut[c3[(second != 0x97) & (second != 0xB7) & (kind[c3 + 2] == 0)] + 2] = True
         data = self.lower[data]
         words, _, first = pre_tokens(data, offsets, cut)
         coded = words.dictionary_encode()
         codes = np.asarray(coded.indices)
-        found = self._lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
+        flat, begin, sizes = self._lookup(coded.dictionary)
         counts = sizes[codes]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = flat[np.repeat(begin[codes] - total[:-1], counts) + np.arange(total[-1])]
