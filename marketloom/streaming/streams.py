@@ -42,41 +42,47 @@ def album_sessions(messages: DataFrame, gap: str = "2 minutes", lateness: str =
 CHANGES = "listing string, version int, change_type string, price double, price_diff double, at long"
 
 
-def track_prices(stream: DataFrame, threshold: float = 1.0) -> DataFrame:
+def track_prices(stream: DataFrame, threshold: float = 1.0, idle: str | None = None) -> DataFrame:
     """Price versions of a stream (``listing``, ``at``, ``price``): an ordered fold against the last recorded price.
 
-    State is the recorded price and the number of versions. Rows of one trigger are taken in the order of ``at``;
-    the result over all triggers is that of the batch fold when rows arrive in that order.
+    State is the recorded price in cents and the number of versions. Rows of one trigger are taken in the order of ``at``;
+    the result over all triggers is that of the batch fold when rows arrive in that order. With ``idle`` (say "90 days") a listing
+    not seen for that long is forgotten, so state is bounded by what is on the market.
     """
+    least = round(threshold * 100)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        price, versions = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        cents, versions = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         out = []
         for at, seen in zip(rows["at"], rows["price"]):
-            seen = None if pd.isna(seen) else float(seen)
-            if versions == 0:
-                kind, diff = "INITIAL", 0.0
-            elif seen is None:
+            seen = None if pd.isna(seen) else round(float(seen) * 100)
+            diff = 0 if seen is None or cents is None else seen - cents
+            if versions and (seen is None or cents is not None and abs(diff) < least):
                 continue
-            elif price is None:
-                kind, diff = "PRICE_SET", 0.0
-            else:
-                diff = round(seen - price, 2)
-                if abs(diff) < threshold:
-                    continue
-                kind = "PRICE_DROP" if diff < 0 else "PRICE_INCREASE"
-            out.append((key[0], versions, kind, seen or 0.0, diff, int(at)))
-            price, versions = seen, versions + 1
-        state.update((price, versions))
+            kind = "INITIAL" if versions == 0 else "PRICE_SET" if cents is None else "PRICE_DROP" if diff < 0 else "PRICE_INCREASE"
+            out.append((key[0], versions, kind, (seen or 0) / 100, diff / 100, int(at)))
+            cents, versions = seen, versions + 1
+        state.update((cents, versions))
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["listing", "version", "change_type", "price", "price_diff", "at"])
 
-    return stream.groupBy("listing").applyInPandasWithState(step, CHANGES, "price double, versions int", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy("listing").applyInPandasWithState(step, CHANGES, "cents long, versions int", "append", timeout)
 
 
-def snapshot_writer(spark, path: str, order: list[str], keys: tuple[str, ...] = ("source", "source_id")) -> Callable[[DataFrame, int], None]:
+#: What a later observation of a known listing refreshes.
+REFRESHED = ("price", "price_usd", "currency", "mileage", "last_checked_at")
+
+
+def snapshot_writer(spark, path: str, order: list[str], keys: tuple[str, ...] = ("source", "source_id"), refreshed: tuple[str, ...] = REFRESHED) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each micro-batch is deduplicated against the snapshot at ``path`` and merged into it.
 
+    New listings are added; an observation of a known one refreshes those of its ``refreshed`` columns that it fills.
     Snapshots are versioned folders ``v=<batch>``; a batch that runs again writes the same folder, so a restart gives no
     duplicates. The newest older folder is the store.
     """
@@ -93,6 +99,18 @@ def snapshot_writer(spark, path: str, order: list[str], keys: tuple[str, ...] =
         rows = new.where("is_insert").select(*batch.columns, "dedup_level", F.coalesce(F.col("root.id"), F.xxhash64(*[F.col(f"root.{c}") for c in order])).alias("root_id"), F.xxhash64(*[F.col(c) for c in order]).alias("id"))
         rows = rows.withColumn("duplicate_of_id", F.when(F.col("dedup_level") > 0, F.col("root_id"))).drop("root_id")
         merged = rows if store is None else upsert(store, rows, *keys)
+        names = [c for c in refreshed if c in batch.columns]
+        if names:
+            # the latest value that any observation of this batch has
+            latest = batch.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{c}") for c in names])
+            columns = merged.columns
+            merged = merged.join(latest, list(keys), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in names}).select(*columns)
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return write
+
+
+def newest_snapshot(spark, path: str) -> DataFrame:
+    """The last snapshot under ``path``."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")

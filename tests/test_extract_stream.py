@@ -73,3 +73,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert got == [("a", 0, "INITIAL", 0.0), ("a", 1, "PRICE_DROP", -2.0), ("b", 0, "INITIAL", 0.0), ("b", 1, "PRICE_SET", 0.0)]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "k", 1.0), ("2024-01-01 00:50:00", "k", 3.0), ("2024-01-01 01:10:00", "k", 5.0)], "t string, k string, v double").select(F.col("t").cast("timestamp").alias("t"), "k", "v")
     assert sorted((r.n, float(r.total)) for r in windowed_rollup(events, "t", "v", ["k"]).collect()) == [(1, 5.0), (2, 4.0)]
+
+
+def test_stream_refreshes_known_listings(spark, tmp_path):
+    """Two micro-batches: a known listing keeps its row and takes the latest price, a new one is added, a repost points to its root."""
+    from marketloom.streaming.streams import newest_snapshot, snapshot_writer
+
+    kinds = "seq long, source string, source_id string, canonical_url string, content_fingerprint string, price double"
+    batches = [[(1, "a", "x", "u1", "f1", 10.0), (2, "a", "x", "u1", "f1", 9.0)], [(3, "a", "x", "u1", "f1", None), (4, "a", "x", "u1", "f1", 7.0), (5, "b", "y", "u1", "f2", 7.5), (6, "b", "z", "u9", None, 3.0)]]
+    write = snapshot_writer(spark, f"file://{tmp_path}/snap", ["seq"])
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, kinds), i)
+    write(spark.createDataFrame(batches[1], kinds), 1)  # run again
+    got = {(r.source, r.source_id): r for r in newest_snapshot(spark, f"file://{tmp_path}/snap").collect()}
+    assert {k: (r.seq, r.price, r.dedup_level) for k, r in got.items()} == {("a", "x"): (1, 7.0, 0), ("b", "y"): (5, 7.5, 2), ("b", "z"): (6, 3.0, 0)}
+    assert got["b", "y"].duplicate_of_id == got["a", "x"].id and got["a", "x"].duplicate_of_id is None
