@@ -88,3 +88,12 @@ def test_stream_refreshes_known_listings(spark, tmp_path):
     got = {(r.source, r.source_id): r for r in newest_snapshot(spark, f"file://{tmp_path}/snap").collect()}
     assert {k: (r.seq, r.price, r.dedup_level) for k, r in got.items()} == {("a", "x"): (1, 7.0, 0), ("b", "y"): (5, 7.5, 2), ("b", "z"): (6, 3.0, 0)}
     assert got["b", "y"].duplicate_of_id == got["a", "x"].id and got["a", "x"].duplicate_of_id is None
+
+
+def test_characteristics_without_their_class(spark):
+    """Items of the characteristic list, or of the grid, where none has its own class."""
+    listed = CARD_A.replace(' class="item-char"', "")
+    grid = CARD_A.replace('<ul class="characteristic">', '<div class="grid-wrapper">').replace("</ul>", "</div>").replace('<li class="item-char">', "<span>").replace("</li>", "</span>")
+    for html in (CARD_A, listed, grid):
+        r = landing.extract_cards_a(pages(spark, html)).first()
+        assert (r.mileage, r.engine, r.fuel_type, r.location, r.transmission) == (280_000, "1.8T Бензин, 1.78 л.", "бензин", "Львів", "Ручна / Механіка")
