@@ -97,3 +97,9 @@ def test_characteristics_without_their_class(spark):
     for html in (CARD_A, listed, grid):
         r = landing.extract_cards_a(pages(spark, html)).first()
         assert (r.mileage, r.engine, r.fuel_type, r.location, r.transmission) == (280_000, "1.8T Бензин, 1.78 л.", "бензин", "Львів", "Ручна / Механіка")
+
+
+def test_a_source_that_fails_ends_no_other(spark):
+    bad = spark.createDataFrame([("u", "x")], "url string, html string").withColumn("html", F.raise_error(F.lit("no such charset")).cast("string"))
+    rows, failed = landing.extract_isolated({"olx": bad, "auto_ria": pages(spark, CARD_A), "rst": pages(spark, None)}, lambda x: spark.createDataFrame(x.collect(), x.schema))
+    assert [r.source_id for r in rows.collect()] == ["77"] and list(failed) == ["olx"] and "no such charset" in failed["olx"]
