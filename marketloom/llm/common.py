@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text handled at once inside a task; longer batches are cut into slices of whole rows.
 SLICE_BYTES = 4 << 20
+#: Rows of a few numbers that are broadcast at most.
+FEW = 250_000
 #: Bytes of the rows that Spark hands to Python at once.
 BATCH_BYTES = 8 << 20
 

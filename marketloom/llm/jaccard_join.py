@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import discard, materialize, slices, small_enough, text_bytes, unused
+from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes, unused
 from marketloom.llm.links import components_of, odd_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -200,13 +200,33 @@ def _send(signature: np.ndarray, node: np.ndarray, mark: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "mark", "node"])
 
 
+def send_signatures(made: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """:func:`_send` for (signatures, nodes) whenever ``HELD`` of them have come together."""
+    held: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    size = 0
+
+    def deal() -> pa.RecordBatch:
+        whole, of = np.concatenate(held), np.concatenate(owners)
+        # the same rows give the same mark, so a task that is run again sends the same
+        return _send(whole, of, int(mix(whole[:1] ^ np.uint64(len(whole)))[0] & np.uint64(0x7FFFFFFE)) + 1)
+
+    for signature, node in made:
+        held.append(signature)
+        owners.append(node)
+        size += len(signature)
+        if size >= HELD:
+            yield deal()
+            held, owners, size = [], [], 0
+    if size:
+        yield deal()
+
+
 def scan_signatures(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:
     """``signature``, ``mark`` (not 0 for groups of one task) and ``node`` of every set, once for each task it occurs in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        size, seen = 0, set()
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen = set()
         for batch in batches:
             for part in slices(batch, "text", HASH_BYTES):
                 sets, nodes = [], []
@@ -218,19 +238,9 @@ def scan_signatures(docs: DataFrame, words: int, threshold_pct: int) -> DataFram
                         sets.append(elements)
                         nodes.append(node)
                 signature, owner = signatures(sets, threshold_pct)
-                held.append(signature)
-                owners.append(np.array(nodes, np.int64)[owner] if len(nodes) else np.zeros(0, np.int64))
-                size += len(signature)
-                if size >= HELD:
-                    whole, of = np.concatenate(held), np.concatenate(owners)
-                    held, owners, size = [], [], 0
-                    # the same rows give the same mark, so a task that is run again sends the same
-                    yield _send(whole, of, int(mix(whole[:1] ^ np.uint64(len(whole)))[0] & np.uint64(0x7FFFFFFE)) + 1)
-        if size:
-            whole, of = np.concatenate(held), np.concatenate(owners)
-            yield _send(whole, of, int(mix(whole[:1] ^ np.uint64(len(whole)))[0] & np.uint64(0x7FFFFFFE)) + 1)
+                yield signature, np.array(nodes, np.int64)[owner] if len(nodes) else np.zeros(0, np.int64)
 
-    return docs.select("text").mapInArrow(run, "signature long, mark int, node long")
+    return docs.select("text").mapInArrow(lambda batches: send_signatures(made(batches)), "signature long, mark int, node long")
 
 
 def shared_signatures(sent: DataFrame) -> DataFrame:
@@ -269,7 +279,7 @@ def shared_signatures(sent: DataFrame) -> DataFrame:
 
 def scan_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """``node``, ``n``, ``sketch`` and ``elements`` (little-endian 64-bit numbers) of documents in ``wanted`` (``row``, ``node``)."""
-    wanted = F.broadcast(wanted) if small_enough(wanted, 1_000_000) else wanted
+    wanted = F.broadcast(wanted) if small_enough(wanted, FEW) else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,9 +317,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold_pct: int = 90,
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links, of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_doc = _classes(docs, words, threshold_pct)
-    smallest = of_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = of_doc.join(smallest, "component", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    # only components of several rows are joined; they are numbers, broadcast when few, so a large component is no large task
+    smallest = of_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    smallest = materialize(smallest, "component-names")
+    out = of_doc.join(F.broadcast(smallest) if small_enough(smallest, FEW) else smallest, "component", "left")
+    inside = (F.col("n") > 0) & F.col("least").isNotNull()
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(inside, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 80) -> DataFrame:
@@ -320,15 +333,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold_pct: int = 8
     """
     key, row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), unused(docs, "row_key")
     of_doc = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, threshold_pct).where("n > 0")
-    best = of_doc.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("best"))
-    gone = of_doc.join(best, "component").where(F.col("row") != F.col("best.row")).select(F.col("row").alias(row)).distinct()
+    best = of_doc.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("best"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    best = materialize(best, "component-names")
+    gone = of_doc.join(F.broadcast(best) if small_enough(best, FEW) else best, "component").where(F.col("row") != F.col("best.row")).select(F.col("row").alias(row)).distinct()
     gone = materialize(gone, "near-duplicates")
-    gone = F.broadcast(gone) if small_enough(gone, 1_000_000) else gone
+    gone = F.broadcast(gone) if small_enough(gone, FEW) else gone
     names = docs.columns
     kept = docs.withColumn(row, key).join(gone, row, "left_anti")
     again = materialize(of_doc.groupBy(F.col("row").alias(row)).count().where("count > 1").select(row), "repeated-rows")
     if again.isEmpty():
         return kept.select(*names)
-    again = F.broadcast(again) if small_enough(again, 1_000_000) else again
+    again = F.broadcast(again) if small_enough(again, FEW) else again
     once = kept.join(again, row, "left_anti").select(*names)
     return once.unionByName(kept.join(again, row, "left_semi").dropDuplicates([row]).select(*names))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import discard, materialize, small_enough
+from marketloom.llm.common import FEW, discard, materialize, small_enough
 from marketloom.llm.components import components
 
 
@@ -55,7 +55,7 @@ def _pair_schema(df: DataFrame) -> T.StructType:
 
 def _both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs with what ``left`` has for ``a`` and ``right`` for ``b``. Few pairs are broadcast, so only what they need is moved, once."""
-    if small_enough(pairs, 500_000):
+    if small_enough(pairs, FEW):
         few = F.broadcast(pairs)
         return left.join(few, "a").join(right.join(few, "b"), ["a", "b"])
     return pairs.join(left, "a").join(right, "b")
@@ -250,29 +250,6 @@ def components_of(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     return parts
 
 
-def linked_groups(signed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
-    """``node`` and ``component``, the smallest node reachable by links, of every node of ``signed``.
-
-    ``signed``: one row for each set, written down, with ``node``, the class fingerprints ``f1`` and ``f2`` and
-    its ``signatures``.
-    """
-    classes = signed.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
-    member = materialize(signed.select("node", "f1", "f2").distinct().join(classes, ["f1", "f2"]).select("node", "rep"), "class-members")
-
-    each = signed.select(F.explode("signatures").alias("signature"), "node", "f1")
-    groups = each.groupBy("signature").agg(F.min("node").alias("hub"), F.min("f1").alias("low"), F.max("f1").alias("high"))
-    groups = groups.where("low <> high").select("signature", "hub")
-    shared = each.select("signature", "node").join(groups, "signature").join(member, "node").where(F.col("node") == F.col("rep"))
-    of_hub = member.select(F.col("node").alias("hub"), F.col("rep").alias("b"))
-    shared = materialize(shared.join(of_hub, "hub").select("signature", F.col("node").alias("a"), "b"), "shared-signatures")
-    parts = components_of(shared, sets_of, threshold_pct)
-    label = parts.select(F.col("node").alias("rep"), "component")
-    out = materialize(member.join(label, "rep", "left").select("node", F.coalesce("component", "rep").alias("component")), "groups")
-    discard(member)
-    discard(shared)
-    return out
-
-
 def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
     """``node`` and ``component`` of the ``classes`` that have any link: one row for each set that occurs, written down, with ``node`` and its ``signatures``."""
     each = classes.select(F.explode("signatures").alias("signature"), F.col("node").alias("a")).distinct()
