@@ -15,8 +15,9 @@ Selecting the k largest is exact and distributed: histograms of ever narrower ra
 
 Cases: null and empty texts, and texts shorter than a gram, have no grams and weight 0 before noise.
 Documents without labels are scored like others. Labels repeated for a document count once, as bad if
-any says so. Without labels of both kinds nothing is rejected. Ties at the k-th place go to the smaller id;
-repeated rows share their key and stay or go together. Empty tables give empty results.
+any says so. Without labels of both kinds nothing is rejected. Ties at the k-th place go to the smaller id, those
+without an id last; repeated rows share their key and stay or go together. Other columns stay as they are, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ WINDOWS = {8: 1.0, 64: 3.0}
 SMOOTHING = 3.0
 BINS = 1024
 #: Text handled at once; scoring holds several 64-bit numbers for each byte.
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 1 << 19
 
 
 def gram_features(data, offsets) -> tuple:
@@ -189,14 +190,31 @@ def top_k(keys: DataFrame, k: int) -> Column:
             above += n
         if n <= 10_000:
             break
+    need = k - above
     if low == high:
-        last = keys.where(F.col("key") == low).select("doc_id")
-        need = k - above
-        ids = last.orderBy("doc_id").limit(need).agg(F.max("doc_id")).first()[0] if need <= 10_000 else last.agg(F.percentile("doc_id", need / max(last.count(), 1))).first()[0]
-        return (F.col("key") > low) | (F.col("key") == low) & (F.col("doc_id") <= ids)
-    rest = keys.where((F.col("key") >= low) & (F.col("key") <= high)).orderBy(F.desc("key"), "doc_id").limit(k - above)
-    key, doc_id = rest.agg(F.min(F.struct("key", -F.col("doc_id")))).first()[0]
-    return (F.col("key") > key) | (F.col("key") == key) & (F.col("doc_id") <= -doc_id)
+        ids = kth_id(keys.where(F.col("key") == low).select("doc_id"), need)
+        return (F.col("key") > low) | (F.col("key") == low) & (F.lit(True) if ids is None else F.col("doc_id") <= ids)
+    # few rows, of which the last one that stays tells where to cut
+    rest = keys.where((F.col("key") >= low) & (F.col("key") <= high)).select("key", "doc_id").orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(need).collect()
+    key, doc_id = rest[-1]
+    return (F.col("key") > key) | (F.col("key") == key) & (F.lit(True) if doc_id is None else F.col("doc_id") <= doc_id)
+
+
+def kth_id(ids: DataFrame, k: int) -> int | None:
+    """The k-th smallest ``doc_id``, by counts over ever narrower ranges; None if it is among those without an id, which come last."""
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    if k > n:
+        return None
+    while low < high:
+        width = (high - low) // BINS + 1
+        inside = ids.where((F.col("doc_id") >= low) & (F.col("doc_id") <= high))
+        bins = dict(map(tuple, inside.groupBy(F.floor((F.col("doc_id") - low) / width).alias("bin")).count().collect()))
+        for b in sorted(bins):
+            if k <= bins[b]:
+                low, high = low + b * width, min(low + (b + 1) * width - 1, high)
+                break
+            k -= bins[b]
+    return low
 
 
 class Classifier:
@@ -245,6 +263,8 @@ def classify(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns; a second scan instead of a join on texts."""
     model, keys = fit(docs, labels, **parameters)
-    named = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    # other columns travel as one, so that they may have any names
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.struct(*others).alias("others")] if others else []))
     drawn = model.keys(score(named, model.ratios)).where(model.kept())
-    return drawn.drop("log_weight", "key")
+    return drawn.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns])
