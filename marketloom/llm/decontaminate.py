@@ -7,13 +7,16 @@ overlapping bands of ``2 (k + 1)`` diagonals; bands that reach the bound are ver
 which gives the edit distance and the region.
 
 Both sides are compared as UTF-8 bytes in lower case (A-Z) with runs of white space as one space; the edit
-budget is ``floor(rate * m)``. The default q of ``0.6 / rate`` keeps the bound positive and hits rare.
+budget is ``floor(rate * m)``. The default q of ``0.6 / rate`` keeps the bound positive and hits rare; an item too short
+for it has the largest q that keeps its bound positive, down to its whole length.
 
 The benchmark goes to the executors in blocks of about ``BLOCK_BYTES``, each a scan of the texts; one block
-is the usual case. Nothing else is broadcast and no text is shuffled.
+is the usual case. Of several, each is searched and its finds written down before the next is read, so the driver holds
+one. Nothing else is broadcast and no text is shuffled.
 
-Cases: null and empty texts hold nothing. Items with fewer than q bytes after normalising, null ones among
-them, are not searched. Equal items are found each by its own id. An empty benchmark finds nothing.
+Cases: null and empty texts hold nothing. Items shorter than the default q stand in a text only between word
+boundaries (a one-letter item is not found inside words). Empty and null items are not searched. Equal items are found each
+by its own id. An empty benchmark finds nothing. Documents without an id are searched like others, repeated rows each on its own.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import slices, text_bytes
+from marketloom.llm.common import materialize, slices, text_bytes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 TABLE_BITS = 22
+#: Text searched at once; several 64-bit numbers are held for each byte.
+FIND_BYTES = 1 << 20
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,6 +41,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[_SPACES] = 0x20
 
+#: Bytes of words: letters, digits and all beyond ASCII.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Shorter items are found between word boundaries only.
+SHORT_BYTES = 12
+
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, place of each byte in the original) in lower case with single spaces."""
@@ -50,10 +61,15 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of the q bytes from each place on (8 <= q <= 16)."""
+    """A 64-bit hash of the q bytes from each place on (q <= 16)."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    if q < 8:
+        h = np.zeros(n, np.uint64)
+        for i in range(q):
+            h = h << np.uint64(8) | data[i : n + i].astype(np.uint64)
+        return (h + np.uint64(q)) * np.uint64(0x9E3779B97F4A7C15)
     data = np.ascontiguousarray(data)
     head = np.ndarray((n,), "<u8", data, strides=(1,))
     tail = np.ndarray((n,), "<u8", data, q - 8, strides=(1,))
@@ -85,22 +101,42 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return int(now[best]), len(item) + low + best
 
 
-class Index:
-    """The q-grams of one block of benchmark items."""
+def _item(text: str) -> np.ndarray:
+    data, offsets = text_bytes(pa.array([text], pa.string()))
+    data, _, _ = normalise(data, offsets)
+    data = data[1:] if len(data) and data[0] == 0x20 else data
+    return data[:-1] if len(data) and data[-1] == 0x20 else data
+
+
+def _edge(text: np.ndarray, at: int) -> bool:
+    """Whether a word begins or ends at a place of a text."""
+    return at <= 0 or at >= len(text) or not (_WORD[text[at - 1]] and _WORD[text[at]])
+
+
+class Benchmark:
+    """A block of benchmark items, indexed by the q that each is searched with."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
-        self.q, self.items = q, []
-        hashes, owners, places = [], [], []
+        by_q: dict[int, list] = {}
         for item_id, text in items:
-            data, offsets = text_bytes(pa.array([text], pa.string()))
-            data, _, _ = normalise(data, offsets)
-            data = data[1:] if len(data) and data[0] == 0x20 else data
-            data = data[:-1] if len(data) and data[-1] == 0x20 else data
-            k = int(rate * len(data))
-            if len(data) + 1 - q * (k + 1) < 1:
-                k = (len(data) + 1 - 1) // q - 1  # as many edits as the lemma still tells
-            if len(data) < q or k < 0:
-                continue
+            data = _item(text)
+            if len(data):
+                k = int(rate * len(data))
+                by_q.setdefault(min(q, len(data) // (k + 1)), []).append((item_id, data, k))
+        self.parts = [Index(of_q, own, own < q) for own, of_q in sorted(by_q.items())]
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item id, start, end, edits) of every region of the texts that holds an item, in bytes of the text."""
+        return [row for part in self.parts for row in part.find(data, offsets)]
+
+
+class Index:
+    """The q-grams of items that are searched with the same q; ``short``: items, which stand between word boundaries only."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], q: int, short: bool):
+        self.q, self.short, self.items = q, short, []
+        hashes, owners, places = [], [], []
+        for item_id, data, k in items:
             h = gram_hashes(data, q)
             hashes.append(h)
             owners.append(np.full(len(h), len(self.items)))
@@ -164,6 +200,8 @@ class Index:
                 continue
             # the start, from the reversed texts
             _, back = align(wanted[::-1], text[max(0, end - len(wanted) - k) : end][::-1], -k, k)
+            if self.short and len(wanted) < SHORT_BYTES and not (_edge(text, end - back) and _edge(text, end)):
+                continue
             best.setdefault((r, i), []).append((edits, end - back, end))
         rows = []
         for (r, i), regions in best.items():
@@ -176,13 +214,14 @@ class Index:
         return rows
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``BLOCK_BYTES``."""
+def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The benchmark in blocks of about ``BLOCK_BYTES``, read one at a time, and whether there are more than one."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[tuple(r) for r in rows.where(part == i).orderBy("item", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [tuple(r) for r in rows.where(part == i).orderBy("item", "text").collect()], n > 1
 
 
 def _q(rate: float, q: int | None) -> int:
@@ -193,18 +232,19 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int
     """``doc_id``, ``item_id``, ``start``, ``end`` (bytes of the text) and ``edits`` of every region that holds an item."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in blocks(benchmark, item_col, item_text_col):
-        index = Index(block, _q(rate, q), rate)
+    for block, several in blocks(benchmark, item_col, item_text_col):
+        index = Benchmark(block, _q(rate, q), rate)
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: Benchmark = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, "text", FIND_BYTES):
                     rows = index.find(*text_bytes(part.column("text")))
                     r, item, start, end, edits = zip(*rows) if rows else ((), (), (), (), ())
                     columns = [part.column("id").take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "end", "edits"])
 
         found = source.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
+        found = materialize(found, "found-items") if several else found
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -212,15 +252,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; a filter inside the scan."""
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    for block in blocks(benchmark, item_col, item_text_col):
-        index = Index(block, _q(rate, q), rate)
+    for block, several in blocks(benchmark, item_col, item_text_col):
+        index = Benchmark(block, _q(rate, q), rate)
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: Benchmark = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, text_col):
+                for part in slices(batch, text_col, FIND_BYTES):
                     keep = np.ones(part.num_rows, bool)
                     keep[[x[0] for x in index.find(*text_bytes(part.column(text_col)))]] = False
                     yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = materialize(docs, "clean-so-far") if several else docs
     return docs
