@@ -107,9 +107,11 @@ def classify(df: DataFrame, ruleset: R.RuleSet | None = None, compatibility: boo
     at = at.withColumns({"_t": F.col("_ititle"), "_full": F.trim(F.concat_ws(" ", "_ititle", "_idescription", "_iengine"))})
     t, full = F.col("_t"), F.col("_full")
     low_title, low_full = F.lower("_title"), F.trim(F.concat(F.lower("_title"), F.lit(" "), F.lower("_description")))
-    at = at.withColumns({
-        "_negative": negative_reason(low_title, low_full, ruleset),
-        "_wrong": brand_model_reason(t, full, given["brand"], given["model"], ruleset),
+    # one step after the other: what an earlier rule has rejected is not read again
+    at = at.withColumn("_negative", negative_reason(low_title, low_full, ruleset))
+    at = at.withColumn("_wrong", F.when(F.col("_negative").isNull(), brand_model_reason(t, full, given["brand"], given["model"], ruleset)))
+    still = F.col("_negative").isNull() & F.col("_wrong").isNull()
+    later = {
         "_year": extract_year(given["year"], full),
         "_other": first_match(full, ruleset.other_generations),
         "_bad_engine": first_match(full, ruleset.rejected_engines),
@@ -117,7 +119,8 @@ def classify(df: DataFrame, ruleset: R.RuleSet | None = None, compatibility: boo
         "_c5": matches(full, R.GENERATION_C5),
         "_avant": is_avant(given["body_type"], full),
         "_18": matches(full, R.GENERIC_18) | F.coalesce(given["engine"].contains("1.8"), F.lit(False)),
-    })
+    }
+    at = at.withColumns({name: F.when(still, value) for name, value in later.items()})
     year, c5 = F.col("_year"), F.col("_c5")
     engine = F.when(F.size("_engines") == 1, F.get("_engines", F.lit(0)))
     early, late = F.concat(F.lit("YEAR_TOO_EARLY_"), year.cast("string")), F.concat(F.lit("YEAR_TOO_LATE_"), year.cast("string"))
