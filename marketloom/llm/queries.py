@@ -44,10 +44,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketloom.llm.suffix_dedup import removal_digest, repeated_spans
+    from marketloom.llm.suffix_dedup import repeats_of
 
-    docs = common.table(spark, sf_dir, "documents")
-    return removal_digest(docs, repeated_spans(docs, 400))
+    # 240 bytes are fewer than any passage of 50 words has
+    return repeats_of(common.table(spark, sf_dir, "documents"), 400, passage=240)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
