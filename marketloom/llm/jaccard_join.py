@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes, unused
-from marketloom.llm.links import components_of, odd_sketch
+from marketloom.llm.links import components_of, mix, odd_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACES = np.zeros(256, bool)
@@ -54,13 +54,6 @@ HELD = 1 << 18
 COMMON = 16
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose bits all depend on all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverses modulo 2**64."""
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))

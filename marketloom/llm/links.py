@@ -5,8 +5,10 @@ Pairs inside a group of equal signatures are never listed:
 1. Sets that are equal form a class; the smallest node stands for it.
 2. Each class is compared with the smallest member (hub) of its signature groups, first with the hub it
    shares most signatures with, then with those that are still in another component.
-3. What is left are groups with members in several components; only pairs across components are looked
-   at, so members that are linked already are never paired.
+3. What is left are groups with members in several components. Their members are compared by sketches, block by block,
+   but what is listed is a forest only: so many pairs as join the components that may be linked, first the nearest, in a second
+   round any. Once these are verified, the few pairs that are still apart and may be similar are all listed: mostly
+   pairs that only their sketches take for similar.
 
 Before sets are compared, odd sketches (the parity of the elements in each of several buckets) give a
 lower bound on how much they differ, which drops pairs below the threshold without their sets. Every
@@ -27,12 +29,19 @@ from marketloom.llm.common import FEW, discard, materialize, small_enough
 from marketloom.llm.components import components
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * n).bit_length())
+    return max(64, 1 << (8 * n).bit_length())
 
 
 def odd_sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements in buckets, at least two for each element."""
+    """Parities of the elements in buckets, at least eight for each element, so that few differences hide each other."""
     bits = sketch_bits(len(elements))
     counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
@@ -104,7 +113,7 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 #: Members of a group that are compared at once.
-SIDE = 1024
+SIDE = 512
 #: Comparisons of two sketches that a task is given, about.
 TASK_COMPARISONS = 20_000_000
 
@@ -122,10 +131,10 @@ def _stack(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _compare(bits: np.ndarray, n: np.ndarray, code: np.ndarray, side: np.ndarray, threshold_pct: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (two blocks, or one with itself) across components that sizes and sketches allow."""
+def _compare(bits: np.ndarray, n: np.ndarray, code: np.ndarray, side: np.ndarray, threshold_pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (two blocks, or one with itself) across components that sizes and sketches allow, and how much they differ."""
     rows, columns = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple] = []
     step = max(1, (1 << 19) // max(1, len(columns) * bits.shape[1]))
     for at in range(0, len(rows), step):
         i = rows[at : at + step]
@@ -135,23 +144,50 @@ def _compare(bits: np.ndarray, n: np.ndarray, code: np.ndarray, side: np.ndarray
             continue
         differ = np.bitwise_count(bits[i][:, None] ^ bits[columns][None]).sum(2, dtype=np.int64)
         fits &= differ <= total * (100 - threshold_pct) // (100 + threshold_pct)
-        if nearest:
-            close = np.where(fits, differ, np.iinfo(np.int64).max)
-            x = np.flatnonzero(fits.any(1))
-            out.append((i[x], columns[close.argmin(1)[x]]))
-            continue
         x, y = np.nonzero(fits)
         keep = (side[i[x]] != side[columns[y]]) | (i[x] < columns[y])
-        out.append((i[x][keep], columns[y][keep]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, nearest: bool = False) -> DataFrame:
+        x, y = x[keep], y[keep]
+        out.append((i[x], columns[y], differ[x, y]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _forest(x: np.ndarray, y: np.ndarray, code: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which pairs, by rising ``order``, join all components that the pairs connect: each round takes every component's first pair out."""
+    by = np.argsort(order, kind="stable")
+    label = np.unique(code, return_inverse=True)[1]
+    taken = []
+    while True:
+        a, b = label[x[by]], label[y[by]]
+        by = by[a != b]
+        if not len(by):
+            return np.unique(np.concatenate(taken)) if taken else by
+        a, b = label[x[by]], label[y[by]]
+        _, first = np.unique(np.concatenate((a, b)), return_index=True)
+        chosen = np.unique(first % len(by))
+        taken.append(by[chosen])
+        parent = list(range(int(label.max()) + 1))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, j in zip(a[chosen].tolist(), b[chosen].tolist()):
+            parent[root(i)] = root(j)
+        label = np.array([root(i) for i in range(len(parent))])[label]
+
+
+#: How the pairs of a mixed group are listed: a forest of the nearest, a forest of any, all.
+NEAREST, ANY, ALL = "nearest", "any", "all"
+
+
+def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, which: str = ALL) -> DataFrame:
     """Pairs (``a``, ``b``) across components (``c``) of a ``signature`` group that sizes and sketches allow.
 
     Members are dealt to blocks of about ``SIDE``; two blocks are compared by their sketches, and a group with many
     ``members`` is many tasks: partitions are as many as the comparisons ask for. Rows stream in order of their group, so a
-    task holds two blocks at a time. Only the pairs that pass are ever rows; with ``nearest``, one for each member and block.
+    task holds two blocks at a time. Of two blocks a forest of pairs is listed, fewer than they have members, unless ``which`` is ALL.
     """
     kind = sets.schema["node"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
@@ -190,8 +226,11 @@ def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, nearest: bo
             for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
                 if z - a < 2 or (code[a:z] == code[a]).all():
                     continue
-                x, y = _compare(_stack(data, ends[a:z], ends[a + 1 : z + 1] - ends[a:z]), n[a:z], code[a:z], side[a:z], threshold_pct, nearest)
+                x, y, differ = _compare(_stack(data, ends[a:z], ends[a + 1 : z + 1] - ends[a:z]), n[a:z], code[a:z], side[a:z], threshold_pct)
                 if len(x):
+                    if which != ALL:
+                        kept = _forest(x, y, code[a:z], differ if which == NEAREST else mix(x.astype(np.uint64) << np.uint64(20) | y.astype(np.uint64)))
+                        x, y = x[kept], y[kept]
                     found.append((x + a, y + a))
             if found:
                 x, y = (np.concatenate(v) for v in zip(*found))
@@ -236,25 +275,14 @@ def components_of(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     grow(stars.groupBy("a").agg(F.min_by("b", F.struct(-F.col("common"), F.col("b"))).alias("b")))
     grow(across(stars.select("a", "b"), parts))
 
-    # what two hub rounds leave: groups with members in several components. First each member's nearest in another
-    # component, which joins most; then all pairs that may be similar and are still apart
-    for nearest in (True, False):
+    # what two hub rounds leave: groups with members in several components
+    for which in (NEAREST, ANY, ALL):
         placed = shared.select("signature", "a").distinct().join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("signature", "a", F.coalesce("component", "a").alias("c"))
         mixed = placed.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high").select("signature", "members")
         left = materialize(placed.join(mixed, "signature"), "mixed-groups")
-        grow(near_pairs(left, sets, threshold_pct, nearest))
+        grow(near_pairs(left, sets, threshold_pct, which))
         discard(left)
 
     for used in (stars, wanted, sets):
         discard(used)
     return parts
-
-
-def linked_classes(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold_pct: int) -> DataFrame:
-    """``node`` and ``component`` of the ``classes`` that have any link: one row for each set that occurs, written down, with ``node`` and its ``signatures``."""
-    each = classes.select(F.explode("signatures").alias("signature"), F.col("node").alias("a")).distinct()
-    groups = each.groupBy("signature").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").select("signature", "b")
-    shared = materialize(each.join(groups, "signature"), "shared-signatures")
-    parts = components_of(shared, sets_of, threshold_pct)
-    discard(shared)
-    return parts
