@@ -19,7 +19,7 @@ SLICE_BYTES = 4 << 20
 #: Rows of a few numbers that are broadcast at most.
 FEW = 250_000
 #: Bytes of the rows that Spark hands to Python at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
