@@ -83,6 +83,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.bpe import decode, encode
+
+    ranks = _tokenizer("byte_bpe_50k.tiktoken")
+    ids = decode(encode(common.table(spark, sf_dir, "documents"), ranks), ranks)
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
