@@ -59,9 +59,12 @@ def kinds() -> np.ndarray:
     return _KINDS[0]
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def split(data: np.ndarray, offsets: np.ndarray, alone: bool = False) -> np.ndarray:
     """Whether a pre-token of ``PATTERN`` begins at a byte; ``data``, ``offsets`` as of :func:`text_bytes`.
 
+    ``alone``: leave out the begins behind two or more white-space characters, which make one pre-token where nothing
+    follows; a text cut at any of the other begins has the same pre-tokens in its parts.
+
     A run of letters, of numbers or of others is a pre-token, with a space (U+0020) before it; white space before
     that is another, and a last white-space character that is no space one more. An apostrophe alone takes the letters
     of a contraction along.
@@ -91,6 +94,8 @@ def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     long = mark[((one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~head[mark + 2]]
     begins[long + 1] = False
     begins[long + 3] = True
+    if alone:
+        begins[2:] &= head[2:] | (kind[2:] == SPACE) | (kind[1:-1] != SPACE) | (kind[:-2] != SPACE)
     out = np.zeros(len(data), bool)
     out[at[begins[:n]]] = True
     return out

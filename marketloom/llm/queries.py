@@ -83,6 +83,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.alignment import align
+
+    out = align(common.table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.bpe import decode, encode
 
