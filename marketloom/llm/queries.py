@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 from marketloom.llm import common
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id AS row_id, r.label AS row_label, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+    FROM v a JOIN v r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE row_label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id) AS INTEGER) AS rank,
+    row_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE row_label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -90,6 +109,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.llm.hard_negatives import mine
+
+    return mine(common.table(spark, sf_dir, "embeddings"), relabel=(7, 10))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.llm.bpe import decode, encode
 
@@ -106,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_hard_negatives": HARD_NEGATIVES}
