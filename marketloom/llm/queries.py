@@ -13,9 +13,9 @@ from marketloom.llm import common
 HARD_NEGATIVES = """
 WITH v AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
     FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
     SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id AS row_id, r.label AS row_label, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
     FROM v a JOIN v r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
