@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from marketloom.functions.fields import to_usd
 
 
+#: Bytes of a table for each core below which its rows are dealt out: so small a file is often one row group, which one task reads.
+SPREAD_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows get much work each: dealt over all cores if its files are too few to be; else as it is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows
+
+
 #: The total order of demo listings.
 ORDER = ["first_seen_at", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings from order lines: regions as sources, suppliers as sellers, parts as models."""
-    line, orders, part, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "supplier", "nation", "region"))
+    line = spread(spark, sf_dir, "lineitem")
+    orders, part, supplier, nation, region = (table(spark, sf_dir, t) for t in ("orders", "part", "supplier", "nation", "region"))
     at = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     at = at.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     source = F.lower("r_name")
@@ -52,7 +66,7 @@ ENGINES = ["1.8T", "2.4", "1.9 TDI", "2.5 TDI", "2.7T", "1.8", "3.0", "2.8", "2.
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ad titles made from parts and order lines, for the classifier and the message rules."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    line, part = spread(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     engine = F.get(F.array(*[F.lit(e) for e in ENGINES]), (F.col("p_partkey") % 9).cast("int"))
     title = F.concat_ws(
         " ", F.when(F.col("p_size") % 11 == 0, "bmw").otherwise("Audi"), F.concat(F.lit("A"), (F.col("p_size") % 3 * 2 + 4).cast("string")),

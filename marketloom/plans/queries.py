@@ -19,7 +19,7 @@ from marketloom.operators.history import current_rows, fold_prices, price_action
 from marketloom.operators.quality import delete_listings, insert_absent, orphans, repeated_keys, upsert, violations
 from marketloom.operators.stats import market_overview, market_peers, market_price, seller_counts, source_counts, top_models
 from marketloom.operators.telemetry import COUNTERS, failure_islands, run_counters, totals, until_stopped
-from marketloom.operators.user_filter import match_users, newest_per_user, search
+from marketloom.operators.user_filter import listing_facts, match_users, newest_matches, search, selections_of
 from marketloom.plans.demo import ADS_SQL, FILTERS_SQL, LISTINGS_SQL, ORDER, ads, listings, table, user_filters
 from marketloom.streaming.streams import windowed_rollup
 
@@ -344,9 +344,9 @@ def _alert_feed(spark, sf):
     none = F.lit(None).cast("string")
     at = with_price_drops(deduplicate(_dedup_rows(spark, sf), ORDER), ["source", "source_id"], ORDER)
     at = at.withColumns({"images": F.lit(None).cast("array<string>"), "id": F.xxhash64(*_ids()), "engine": F.lit("1.8T 150"), "engine_code": F.lit("1.8T"), "description": none})
-    rows = A.alert_columns(match_users(A.alert_gate(seller_counts(market_peers(at))), user_filters(spark, sf)))
-    drop = A.price_drop_badge(F.col("price_usd"), F.col("price_diff"))
-    return rows.select("chat_id", *_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery"), F.col("market.pct").alias("below_pct"), "is_price_drop", "price_diff", drop["pct"].alias("drop_pct"))
+    # what an alert shows is computed once for each listing, and then goes to its users
+    rows = A.alert_columns(A.alert_gate(seller_counts(market_peers(at)))).withColumn("drop_pct", A.price_drop_badge(F.col("price_usd"), F.col("price_diff"))["pct"])
+    return match_users(rows, user_filters(spark, sf)).select("chat_id", *_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery"), F.col("market.pct").alias("below_pct"), "is_price_drop", "price_diff", "drop_pct")
 
 
 @query("send_once", "SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_type = 'error' OR value > 60)")
@@ -375,8 +375,7 @@ def _match(spark, sf):
 
 @query("top_n_per_user", MATCH_SQL + "SELECT chat_id, first_seen_at, rank FROM (SELECT chat_id, first_seen_at, row_number() OVER (PARTITION BY chat_id ORDER BY first_seen_at DESC) AS rank FROM m) WHERE rank <= 5")
 def _top_n(spark, sf):
-    found = match_users(_searchable(spark, sf), user_filters(spark, sf))
-    return newest_per_user(found).select("chat_id", "first_seen_at", F.col("rank").cast("long").alias("rank"))
+    return newest_matches(_searchable(spark, sf), user_filters(spark, sf)).select("chat_id", "first_seen_at", F.col("rank").cast("long").alias("rank"))
 
 
 @query("search_fallback", MATCH_SQL + "SELECT chat_id, first_seen_at, rank, true AS exact FROM (SELECT chat_id, first_seen_at, row_number() OVER (PARTITION BY chat_id ORDER BY first_seen_at DESC) AS rank FROM m) WHERE rank <= 5")
@@ -396,6 +395,19 @@ def _search_damaged(spark, sf):
     return search(rows, wanted).select("chat_id", "first_seen_at", F.col("rank").cast("long").alias("rank"), "exact")
 
 
+@query("title_substrings", """WITH t AS (SELECT p_partkey, upper(replace(p_name, ' ', '') || p_brand) AS title FROM part),
+ m AS (SELECT DISTINCT substr(title, 3, 4 + c_custkey % 3) AS m FROM customer JOIN t ON p_partkey = c_custkey // 2)
+SELECT p_partkey, count(m) AS n, min(m) AS least FROM t LEFT JOIN m ON contains(title, m) GROUP BY ALL""")
+def _title_substrings(spark, sf):
+    """Selections that stand anywhere in a title without word breaks."""
+    titles = table(spark, sf, "part").select("p_partkey", F.upper(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), "p_brand")).alias("title"))
+    part = F.substring("title", F.lit(3), (4 + F.col("c_custkey") % 3).cast("int"))
+    asked = table(spark, sf, "customer").join(titles, F.col("p_partkey") == F.floor(F.col("c_custkey") / 2)).select("c_custkey", F.array(part).alias("selected_models"))
+    none = {c: F.lit(None).cast("string") for c in ("generation", "transmission", "drive_type", "body_type", "description", "engine", "engine_code")}
+    owned = selections_of(listing_facts(titles.withColumns(none | {"model": F.lit("?")})), asked)
+    return owned.select("p_partkey", F.size("_owns").cast("long").alias("n"), F.array_min("_owns").alias("least"))
+
+
 # --- extraction -----------------------------------------------------------------------------------------------------
 
 
