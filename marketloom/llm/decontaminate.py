@@ -16,7 +16,7 @@ one. Nothing else is broadcast and no text is shuffled.
 
 Cases: null and empty texts hold nothing. Items shorter than the default q stand in a text only between word
 boundaries (a one-letter item is not found inside words). Empty and null items are not searched. Equal items are found each
-by its own id. An empty benchmark finds nothing. Documents without an id are searched like others, repeated rows each on its own.
+by its own id; items without an id are searched too and found with a null ``item_id``. An empty benchmark finds nothing. Documents without an id are searched like others, repeated rows each on its own.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialize, slices, text_bytes
+from marketloom.llm.common import materialize, slices, text_bytes, tidy
 
 BLOCK_BYTES = 2 << 20
 TABLE_BITS = 22
@@ -116,7 +116,7 @@ def _edge(text: np.ndarray, at: int) -> bool:
 class Benchmark:
     """A block of benchmark items, indexed by the q that each is searched with."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
         by_q: dict[int, list] = {}
         for item_id, text in items:
             data = _item(text)
@@ -216,7 +216,7 @@ class Index:
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
     """The benchmark in blocks of about ``BLOCK_BYTES``, read one at a time, and whether there are more than one."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
@@ -243,7 +243,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, q: int
                     columns = [part.column("id").take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "end", "edits"])
 
-        found = source.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
+        found = source.mapInArrow(tidy(run), "doc_id long, item_id long, start long, end long, edits int")
         found = materialize(found, "found-items") if several else found
         out = found if out is None else out.unionByName(found)
     return out
@@ -262,6 +262,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05,
                     keep[[x[0] for x in index.find(*text_bytes(part.column(text_col)))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
         docs = materialize(docs, "clean-so-far") if several else docs
     return docs

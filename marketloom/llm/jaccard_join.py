@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes, unused
+from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes, tidy, unused
 from marketloom.llm.links import components_of, mix, odd_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -175,7 +175,7 @@ def scan_classes(docs: DataFrame, words: int) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([int(fingerprint(x)) for x in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "node"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, node long")
+    return docs.select("doc_id", "row", "text").mapInArrow(tidy(run), "doc_id long, row long, n long, node long")
 
 
 def _send(signature: np.ndarray, node: np.ndarray, mark: int) -> pa.RecordBatch:
@@ -233,7 +233,7 @@ def scan_signatures(docs: DataFrame, words: int, threshold_pct: int) -> DataFram
                 signature, owner = signatures(sets, threshold_pct)
                 yield signature, np.array(nodes, np.int64)[owner] if len(nodes) else np.zeros(0, np.int64)
 
-    return docs.select("text").mapInArrow(lambda batches: send_signatures(made(batches)), "signature long, mark int, node long")
+    return docs.select("text").mapInArrow(tidy(lambda batches: send_signatures(made(batches))), "signature long, mark int, node long")
 
 
 def shared_signatures(sent: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def shared_signatures(sent: DataFrame) -> DataFrame:
             group, hub, last = (signature[-1], mark[-1]), hubs[-1], node[-1]
 
     keys = ["signature", "mark"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "signature long, a long, b long")
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(tidy(run), "signature long, a long, b long")
 
 
 def scan_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -282,7 +282,7 @@ def scan_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 columns = [pa.array([c for c, _ in sets], pa.int64()), pa.array([len(x) for _, x in sets], pa.int64()), pa.array([odd_sketch(x) for _, x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for _, x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch", "elements"])
 
-    return docs.join(wanted, "row").select("node", "text").mapInArrow(run, "node long, n long, sketch binary, elements binary")
+    return docs.join(wanted, "row").select("node", "text").mapInArrow(tidy(run), "node long, n long, sketch binary, elements binary")
 
 
 def _classes(docs: DataFrame, words: int, threshold_pct: int) -> DataFrame:

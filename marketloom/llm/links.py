@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import FEW, discard, materialize, small_enough
+from marketloom.llm.common import FEW, discard, materialize, small_enough, tidy
 from marketloom.llm.components import components
 
 
@@ -84,7 +84,7 @@ def sketch_filter(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> Data
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = _both(pairs, left, right).where((F.col("na") * 100 >= F.col("nb") * threshold_pct) & (F.col("nb") * 100 >= F.col("na") * threshold_pct))
-    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, _pair_schema(pairs))
+    return near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(tidy(run), _pair_schema(pairs))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
@@ -101,7 +101,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return _both(pairs, left, right).select("a", "b", "ea", "eb").mapInArrow(run, _pair_schema(pairs))
+    return _both(pairs, left, right).select("a", "b", "ea", "eb").mapInArrow(tidy(run), _pair_schema(pairs))
 
 
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, which: str
     parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(work / TASK_COMPARISONS, 100_000)))
     # components are only told apart, so a hash of theirs will do
     dealt = dealt.select(*keys, "block", "a", F.xxhash64("c").alias("c"), F.col("n").cast("long").alias("n"), "sketch")
-    found = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    found = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import discard, materialize, slices, text_bytes
+from marketloom.llm.common import discard, materialize, slices, text_bytes, tidy
 
 GRAM = 5
 BITS = 18
@@ -87,7 +87,7 @@ def count_grams(df: DataFrame) -> DataFrame:
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], ["feature", "raw", "target"])
 
-    each = df.mapInArrow(run, "feature int, raw long, target long")
+    each = df.mapInArrow(tidy(run), "feature int, raw long, target long")
     return each.groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -136,7 +136,7 @@ def score(df: DataFrame, ratios) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*given, pa.array(out)], [*names, "log_weight"])
 
     kinds = T.StructType([*df.schema.fields, T.StructField("log_weight", T.DoubleType())])
-    return df.mapInArrow(run, kinds)
+    return df.mapInArrow(tidy(run), kinds)
 
 
 def label_rows(labels: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import discard, materialize, slices, text_bytes, unused
+from marketloom.llm.common import discard, materialize, slices, text_bytes, tidy, unused
 from marketloom.llm.jaccard_join import _powers, mix
 
 BLOCK = 32
@@ -115,7 +115,7 @@ def scan_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["head", "f", "row", "i", "c", "d"])
 
-    return docs.mapInArrow(run, "head binary, f long, row long, i int, c int, d int")
+    return docs.mapInArrow(tidy(run), "head binary, f long, row long, i int, c int, d int")
 
 
 def multikey_order(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def compare_neighbours(bucketed: DataFrame, gram: int) -> DataFrame:
         columns = [_signed(g), *(rows[c].take(take).combine_chunks() for c in names[1:6]), *(pa.array(x[keep]) for x in (dup, multi, edge))]
         yield from pa.Table.from_arrays(columns, names).to_batches(max_chunksize=100_000)
 
-    return bucketed.mapInArrow(run, "g long, f long, row long, i int, c int, d int, dup boolean, multi boolean, edge boolean")
+    return bucketed.mapInArrow(tidy(run), "g long, f long, row long, i int, c int, d int, dup boolean, multi boolean, edge boolean")
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame, entries: str, how: str = "inner") -> DataFrame:
@@ -205,7 +205,7 @@ def _pieces(docs: DataFrame, runs: DataFrame, schema: str, make) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(row[which])), *columns], names)
 
     by_doc = materialize(runs.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("runs")), "runs")
-    return _with_runs(docs, by_doc, "runs").select("row", "text", "runs").mapInArrow(run, schema)
+    return _with_runs(docs, by_doc, "runs").select("row", "text", "runs").mapInArrow(tidy(run), schema)
 
 
 def _blocks(docs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -325,7 +325,7 @@ def removal_digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], batch.column("row")], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
-    return _with_runs(rows, spans, "spans", "left").select("doc_id", "text", "spans", "row").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, row long")
+    return _with_runs(rows, spans, "spans", "left").select("doc_id", "text", "spans", "row").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, row long")
 
 
 def repeats_of(docs: DataFrame, length: int, passage: int) -> DataFrame:
@@ -355,4 +355,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     numbers = spans.agg(F.sum(F.size("spans") * 5 + 3)).first()[0] or 0
     spans = spans.select(F.col("row").alias(row), F.col("spans").alias(cuts_in))
     marked = docs.withColumn(row, row_key()).join(F.broadcast(spans) if numbers <= MOST_BROADCAST else spans, row, "left")
-    return marked.select(*names, cuts_in).mapInArrow(run, schema)
+    return marked.select(*names, cuts_in).mapInArrow(tidy(run), schema)

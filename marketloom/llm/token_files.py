@@ -8,15 +8,16 @@ partition, ascending with the ids), ``segment`` (its number inside), ``n_ids`` a
 
 A payload, little-endian::
 
-    4 bytes    magic "S8T1"
+    4 bytes    magic "S8T2"
     3 x uint32 documents d, blocks b, words w
-    d x int64  document ids
+    d x uint8  whether a document has no id
+    d x int64  document ids, 0 where there is none
     d x uint32 ids of each document
     (b + 1) x uint32 first word of each block, and the end
     w x uint64 Simple-8b words
 
 Cases: null and empty texts have only the end id. Repeated document ids keep their own rows, in
-any order among them. An empty table gives no segments. Very long texts stay in one segment.
+any order among them. Documents without an id come before all others. An empty table gives no segments. Very long texts stay in one segment.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from marketloom.llm import simple8b
 from marketloom.llm.common import pre_tokens, slices, text_bytes
 from marketloom.llm.jaccard_join import mix
 
-MAGIC = b"S8T1"
+MAGIC = b"S8T2"
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 2 << 20
 #: Distinct pre-tokens that one Python worker remembers, about 50 bytes each; a bound on memory, not on results.
@@ -193,22 +194,22 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pack(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+def pack(no_id: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     words, offsets = simple8b.encode(ids)
     head = struct.pack("<4s3I", MAGIC, len(doc_ids), len(offsets) - 1, len(words))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+    return b"".join([head, no_id.astype(np.uint8).tobytes(), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
-def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, ids of each, all ids) of a segment."""
+def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which documents have no id, document ids, ids of each, all ids) of a segment."""
     magic, d, b, w = struct.unpack_from("<4s3I", payload)
     if magic != MAGIC:
         raise ValueError("not a token segment")
     at, out = 16, []
-    for kind, n in (("<i8", d), ("<u4", d), ("<u4", b + 1), ("<u8", w)):
+    for kind, n in (("?", d), ("<i8", d), ("<u4", d), ("<u4", b + 1), ("<u8", w)):
         out.append(np.frombuffer(payload, kind, n, at))
         at += n * out[-1].itemsize
-    return out[0], out[1].astype(np.int64), simple8b.decode(out[3], out[2])
+    return out[0], out[1], out[2].astype(np.int64), simple8b.decode(out[4], out[3])
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
@@ -224,8 +225,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int
         encode, held, size, segment = encoder(tokenizer_file).encode, [], 0, 0
 
         def close() -> pa.RecordBatch:
-            docs, sizes, ids = (np.concatenate(x) for x in zip(*held))
-            payload = pack(docs, sizes, ids)
+            none, docs, sizes, ids = (np.concatenate(x) for x in zip(*held))
+            payload = pack(none, docs, sizes, ids)
             return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["segment", "n_ids", "payload"])
 
         for batch in batches:
@@ -234,7 +235,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int
                 if end:
                     ids = np.insert(ids, ends[1:], end[0])
                     ends = ends + np.arange(len(ends))
-                held.append((part.column("id").to_numpy(), np.diff(ends), ids))
+                docs = part.column("id")
+                held.append((docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy(), np.diff(ends), ids))
                 size += len(ids)
                 if size >= SEGMENT_IDS:
                     yield close()
@@ -243,7 +245,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer_file: str, end_id: int
             yield close()
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = source.repartitionByRange(n, "id").sortWithinPartitions("id")
+    # many rows of one id, or of none, are split by their texts
+    ranged = source.repartitionByRange(n, F.col("id"), F.xxhash64("text")).sortWithinPartitions("id")
     segments = ranged.mapInArrow(run, "segment int, n_ids long, payload binary").withColumn("part", F.spark_partition_id())
     segments.write.option("compression", "zstd").parquet(path)
 
@@ -266,11 +269,11 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, segment, payload in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("payload")):
-                docs, sizes, ids = unpack(payload.as_buffer())
+                none, docs, sizes, ids = unpack(payload.as_buffer())
                 ids, ends = ids.astype("<u4"), np.cumsum(sizes)
                 begins = ends - sizes
                 columns = [
-                    pa.array(np.full(len(docs), part), pa.int32()), pa.array(np.full(len(docs), segment), pa.int32()), pa.array(docs), pa.array(begins), pa.array(sizes),
+                    pa.array(np.full(len(docs), part), pa.int32()), pa.array(np.full(len(docs), segment), pa.int32()), pa.array(docs, mask=none), pa.array(begins), pa.array(sizes),
                     pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64()),
                 ]
                 names = ["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"]
