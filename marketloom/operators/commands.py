@@ -126,6 +126,36 @@ def defaults() -> dict[str, Column]:
     return {c: (F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).cast(kinds.get(c, "int")) for c, v in FILTER_DEFAULTS.items()}
 
 
+#: The columns of a filter, without its chat.
+FIELDS = list(FILTER_DEFAULTS)
+
+
+def apply_command(now: dict, kind: str | None, arg: str | None, i: dict | None) -> dict:
+    """The filter ``now`` after one command; ``i``: the intent of a text. A toggle that would leave nothing selected is refused."""
+    if kind == "action_reset":
+        return dict(FILTER_DEFAULTS)
+    if kind in ("toggle_model", "toggle_eng"):
+        name, codes = ("selected_models", MODEL_CODES) if kind == "toggle_model" else ("engines", ENGINE_CODES)
+        item, have = codes.get(arg, arg), now[name]
+        if item not in have:
+            return now | {name: [*have, item]}
+        return now if len(have) == 1 else now | {name: [x for x in have if x != item]}
+    if kind == "set_year":
+        low, high = YEAR_PRESETS.get(arg, ALL_YEARS)
+        return now | {"min_year": low, "max_year": high}
+    if kind == "text" and i["op"] == "set_price":
+        return now | {"min_price": i["min_price"], "max_price": i["max_price"]}
+    if kind == "text" and i["op"] == "set_mileage":
+        return now | {"max_mileage": i["max_mileage"]}
+    lifted = {"reset_price": {"min_price": None, "max_price": None}, "reset_mileage": {"max_mileage": None}}
+    if kind in lifted:
+        return now | lifted[kind]
+    chosen = {"set_trans": "transmission", "set_drive": "drive_type", "set_body": "body_type"}
+    if kind in chosen:
+        return now | {chosen[kind]: arg}
+    return now | {"exclude_damaged": not now["exclude_damaged"]} if kind == "toggle_cond" else now
+
+
 def fold_commands(log: DataFrame) -> DataFrame:
     """The filter of each ``chat_id`` after its commands (``chat_id``, ``seq``, ``kind``, ``arg``) in order of ``seq``.
 
@@ -137,30 +167,6 @@ def fold_commands(log: DataFrame) -> DataFrame:
     source = in_key_order(parsed.select("chat_id", "seq", "kind", "arg", "i"), ["chat_id"], ["seq", "kind", "arg"])
     fields = parsed.select("chat_id").limit(0).withColumns(defaults()).schema
 
-    def step(now: dict, kind: str | None, arg: str | None, i: dict | None) -> dict:
-        if kind == "action_reset":
-            return dict(FILTER_DEFAULTS)
-        if kind in ("toggle_model", "toggle_eng"):
-            name, codes = ("selected_models", MODEL_CODES) if kind == "toggle_model" else ("engines", ENGINE_CODES)
-            item, have = codes.get(arg, arg), now[name]
-            if item not in have:
-                return now | {name: [*have, item]}
-            return now if len(have) == 1 else now | {name: [x for x in have if x != item]}
-        if kind == "set_year":
-            low, high = YEAR_PRESETS.get(arg, ALL_YEARS)
-            return now | {"min_year": low, "max_year": high}
-        if kind == "text" and i["op"] == "set_price":
-            return now | {"min_price": i["min_price"], "max_price": i["max_price"]}
-        if kind == "text" and i["op"] == "set_mileage":
-            return now | {"max_mileage": i["max_mileage"]}
-        lifted = {"reset_price": {"min_price": None, "max_price": None}, "reset_mileage": {"max_mileage": None}}
-        if kind in lifted:
-            return now | lifted[kind]
-        chosen = {"set_trans": "transmission", "set_drive": "drive_type", "set_body": "body_type"}
-        if kind in chosen:
-            return now | {chosen[kind]: arg}
-        return now | {"exclude_damaged": not now["exclude_damaged"]} if kind == "toggle_cond" else now
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chat, now = None, None, None
         names = [f.name for f in fields]
@@ -179,7 +185,7 @@ def fold_commands(log: DataFrame) -> DataFrame:
                     if now is not None:
                         done.append({"chat_id": chat} | now)
                     chat, now = who, dict(FILTER_DEFAULTS)
-                now = step(now, kind, arg, i)
+                now = apply_command(now, kind, arg, i)
             last = last_key(batch)
             if done:
                 yield rows(done)

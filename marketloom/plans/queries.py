@@ -511,16 +511,22 @@ def _mileage_parse(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", mileage_bound(text).alias("p")).select("o_orderkey", "p.*")
 
 
+def command_log(spark, sf) -> DataFrame:
+    """Commands from events: ``chat_id``, ``ts``, ``event_id``, ``kind``, ``arg``."""
+    e = table(spark, sf, "events")
+    kinds = F.array(*[F.lit(x) for x in ("toggle_model", "toggle_eng", "set_trans", "set_year", "text", "toggle_cond", "action_reset")])
+    args = F.array(*[F.lit(x) for x in ("A6C6", "2.4", "manual", "rest", "3500-5500", "", "")])
+    at = (F.col("event_id") % 7).cast("int")
+    return e.select(F.col("user_id").cast("string").alias("chat_id"), "ts", "event_id", F.get(kinds, at).alias("kind"), F.get(args, at).alias("arg"))
+
+
 @query("command_fold", """WITH o AS (SELECT user_id, event_id % 7 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT user_id, coalesce(max(rn) FILTER (WHERE k = 6), 0) AS since FROM o GROUP BY ALL),
  c AS (SELECT user_id, count(*) FILTER (WHERE rn > since AND k = 0) AS models, count(*) FILTER (WHERE rn > since AND k = 1) AS engines, count(*) FILTER (WHERE rn > since AND k = 2) AS trans, count(*) FILTER (WHERE rn > since AND k = 3) AS years, count(*) FILTER (WHERE rn > since AND k = 4) AS prices, count(*) FILTER (WHERE rn > since AND k = 5) AS conds FROM o JOIN r USING (user_id) GROUP BY ALL)
 SELECT user_id::VARCHAR AS chat_id, CASE WHEN models % 2 = 1 THEN 'A6 C5,A6 C6' ELSE 'A6 C5' END AS selected_models, CASE WHEN engines = 0 THEN '1.8T,2.4,1.9 TDI' WHEN engines % 2 = 1 THEN '1.8T,1.9 TDI' ELSE '1.8T,1.9 TDI,2.4' END AS engines, CASE WHEN prices > 0 THEN 3500 END::INT AS min_price, CASE WHEN prices > 0 THEN 5500 END::INT AS max_price,
   CASE WHEN years > 0 THEN 2001 ELSE 1997 END::INT AS min_year, 2005::INT AS max_year, NULL::INT AS max_mileage, CASE WHEN trans > 0 THEN 'manual' ELSE 'any' END AS transmission, 'any' AS drive_type, 'any' AS body_type, conds % 2 = 0 AS exclude_damaged FROM c""")
 def _fold(spark, sf):
-    e = table(spark, sf, "events")
-    kinds = F.array(*[F.lit(x) for x in ("toggle_model", "toggle_eng", "set_trans", "set_year", "text", "toggle_cond", "action_reset")])
-    args = F.array(*[F.lit(x) for x in ("A6C6", "2.4", "manual", "rest", "3500-5500", "", "")])
-    at = (F.col("event_id") % 7).cast("int")
-    folded = fold_commands(e.select(F.col("user_id").cast("string").alias("chat_id"), F.struct("ts", "event_id").alias("seq"), F.get(kinds, at).alias("kind"), F.get(args, at).alias("arg")))
+    log = command_log(spark, sf).withColumn("seq", F.struct("ts", "event_id"))
+    folded = fold_commands(log.select("chat_id", "seq", "kind", "arg"))
     return folded.withColumns({c: F.array_join(c, ",") for c in ("selected_models", "engines")})
 
 
