@@ -20,8 +20,9 @@ a phrase that texts share by chance, and stay.
 
 Cases: null and empty texts have no paragraphs. The minimum is the shingle size (and is raised to it): a line
 with fewer words has no shingle and is never removed. A paragraph repeated inside one document is removed there too.
-A text of the same word again and again has no cuts and no passages. Repeated rows with the same id count as one document;
-documents without an id get a row with nothing removed. Empty tables give empty results. Other columns are not looked at.
+A text of the same word again and again has no cuts and no passages. Rows of the same id and text count as one document;
+documents without an id, and different texts under one id, are compared each on its own, after those that an id names (ids are
+below 2**62). A piece is not kept in a line that is removed, if it stands anywhere else. Empty tables give empty results. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes
+from marketloom.llm.common import FEW, discard, materialize, slices, small_enough, text_bytes, tidy
 from marketloom.llm.jaccard_join import HASH_BYTES, mix, send_signatures, shared_signatures, word_hashes, word_places
 from marketloom.llm.links import components_of, odd_sketch
 from marketloom.llm.suffix_dedup import sliding_min
@@ -88,7 +89,7 @@ def _segments(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def scan_paragraphs(docs: DataFrame, words: int, least: int) -> DataFrame:
-    """``doc_id``, ``line``, ``node`` (a fingerprint of its words) and ``n_chars`` of each line that is compared."""
+    """``doc_id``, ``line``, ``node`` (a fingerprint of its words), ``n_chars`` and bytes ``a`` to ``b`` of each line that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +98,10 @@ def scan_paragraphs(docs: DataFrame, words: int, least: int) -> DataFrame:
                 row, line, start, end, hashes, first, count = _paragraphs(data, offsets, words, least)
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 columns = [part.column("doc_id").take(pa.array(row)), pa.array(line.astype(np.int32)), pa.array(_prints(hashes, first, count)), pa.array((chars[end] - chars[start]).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "node", "n_chars"])
+                columns += [pa.array((x - offsets[row]).astype(np.int64)) for x in (start, end)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "node", "n_chars", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, node long, n_chars long")
+    return docs.mapInArrow(tidy(run), "doc_id long, line int, node long, n_chars long, a long, b long")
 
 
 def scan_bands(docs: DataFrame, words: int, threshold_pct: int, least: int, miss: float) -> DataFrame:
@@ -159,7 +161,7 @@ def scan_sets(docs: DataFrame, wanted: DataFrame, words: int, least: int) -> Dat
 
 
 def paragraph_groups(docs: DataFrame, words: int = 5, threshold_pct: int = 80, min_words: int = 5, miss: float = 1e-3) -> DataFrame:
-    """``doc_id``, ``line``, ``n_chars``, ``first_doc`` and ``first_line`` of every line that has a duplicate."""
+    """``doc_id``, ``line``, ``n_chars``, bytes ``a`` to ``b``, ``first_doc`` and ``first_line`` of every line that has a duplicate."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     each = materialize(scan_paragraphs(docs, words, min_words), "paragraphs")
     shared = materialize(shared_signatures(scan_bands(docs, words, threshold_pct, min_words, miss)), "shared-signatures")
@@ -175,11 +177,11 @@ def paragraph_groups(docs: DataFrame, words: int = 5, threshold_pct: int = 80, m
     parts = components_of(shared, sets_of, threshold_pct)
     label = each.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if repeated:  # rows with the same id are one document: of one line the longest text, the first component
-        label = label.groupBy("doc_id", "line").agg(F.max("n_chars").alias("n_chars"), F.min("component").alias("component"))
+        label = label.groupBy("doc_id", "line").agg(*[F.max(c).alias(c) for c in ("n_chars", "a", "b")], F.min("component").alias("component"))
     # partial aggregates of a line that stands everywhere are one row for each task; the join back is with few numbers or split by the engine
     kept = materialize(label.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept"), "components")
     out = label.join(F.broadcast(kept) if small_enough(kept, FEW) else kept, "component")
-    out = materialize(out.select("doc_id", "line", "n_chars", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line")), "groups")
+    out = materialize(out.select("doc_id", "line", "n_chars", "a", "b", F.col("kept.doc_id").alias("first_doc"), F.col("kept.line").alias("first_line")), "groups")
     for used in (each, shared, kept):
         discard(used)
     return out
@@ -256,7 +258,7 @@ def scan_pieces(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``a``, ``b`` and ``first`` of every piece that stands elsewhere too; ``first`` marks the one that is kept.
+    """``doc_id``, ``a``, ``b``, ``first`` and prints of every piece that stands elsewhere too; ``first`` marks the one that is kept.
 
     One shuffle and a sort; of a piece that stands very often, a task sends all but its first to partitions at random.
     """
@@ -284,9 +286,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             repeats = (np.add.reduceat(other.astype(np.int64), first) > 0) | (np.maximum.reduceat(known, first) > OPEN)
             tell = repeats & begins
             late = goes_on and not told and bool(repeats[0])
-            rows = [np.concatenate((x[other], hubs[tell, i], [hub[i]] * late)) for i, x in enumerate((doc, a, b))]
+            rows = [np.concatenate((x[other], hubs[tell, i], np.full(int(late), hub[i], np.int64))) for i, x in enumerate((doc, a, b))]
+            prints = [np.concatenate((x[other], x[first][tell], x[:late])) for x in (f1, f2)]
             firsts = np.concatenate((np.zeros(int(other.sum()), bool), np.ones(int(tell.sum()) + late, bool)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in rows), pa.array(firsts)], ["doc_id", "a", "b", "first"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in rows), pa.array(firsts), *map(pa.array, prints)], ["doc_id", "a", "b", "first", "f1", "f2"])
             if len(first) > 1 or not goes_on:
                 told = bool(repeats[-1]) or known[first[-1]] == LATER
             else:
@@ -295,9 +298,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     where = F.when(F.col("known") == LATER, F.xxhash64("doc_id", "a")).otherwise(F.col("f1"))
     ordered = scan_pieces(docs).repartition(where).sortWithinPartitions("f1", "f2", F.col("known") == LATER, "doc_id", "a")
-    found = materialize(ordered.mapInArrow(run, "doc_id long, a long, b long, first boolean"), "repeated-passages")
+    found = materialize(ordered.mapInArrow(tidy(run), "doc_id long, a long, b long, first boolean, f1 long, f2 int"), "repeated-passages")
     # rows with the same id and text are one document
-    return found.groupBy("doc_id", "a", "b").agg(F.max("first").alias("first"))
+    return found.groupBy("doc_id", "a", "b", "f1", "f2").agg(F.max("first").alias("first"))
+
+
+#: Bytes of the stretches by which pieces and lines of a document are brought together.
+STRETCH = 4_096
+
+
+def _touching(pieces: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc_id``, ``a``, ``b`` of the pieces that share a byte with a line (``doc_id``, ``a``, ``b``) of their document."""
+    stretches = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / STRETCH), F.floor((F.col(b) - 1) / STRETCH)))
+    of_lines = lines.select("doc_id", F.col("a").alias("la"), F.col("b").alias("lb")).where("lb > la").withColumn("stretch", stretches("la", "lb"))
+    of_pieces = pieces.select("doc_id", "a", "b").withColumn("stretch", stretches("a", "b"))
+    return of_pieces.join(of_lines, ["doc_id", "stretch"]).where("a < lb and b > la").select("doc_id", "a", "b").distinct()
+
+
+def keep_passages_outside(passages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``passages`` whose ``first`` is none in a removed line, if there is another: what a line takes along must stay elsewhere."""
+    passages = materialize(passages, "passages")
+    lost = passages.where("first").join(_touching(passages.where("first"), lines), ["doc_id", "a", "b"], "left_semi").select("f1", "f2").distinct()
+    lost = materialize(lost, "lost-passages")
+    if lost.isEmpty():
+        return passages
+    members = passages.join(F.broadcast(lost) if small_enough(lost, FEW) else lost, ["f1", "f2"], "left_semi")
+    inside = _touching(members, lines).withColumn("inside", F.lit(True))
+    flagged = members.join(inside, ["doc_id", "a", "b"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    place = F.struct("doc_id", "a", "b")
+    chosen = materialize(flagged.groupBy("f1", "f2").agg(F.min(F.struct("inside", *[F.col(c) for c in ("doc_id", "a", "b")])).alias("x")).select("f1", "f2", F.struct("x.doc_id", "x.a", "x.b").alias("chosen")), "chosen-passages")
+    joined = passages.join(F.broadcast(chosen) if small_enough(chosen, FEW) else chosen, ["f1", "f2"], "left")
+    return joined.withColumn("first", F.when(F.col("chosen").isNull(), F.col("first")).otherwise(F.col("chosen") == place)).drop("chosen")
 
 
 def passage_runs(passages: DataFrame) -> DataFrame:
@@ -314,10 +345,34 @@ def passage_runs(passages: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.sum("runs").alias("n_passages"), F.sum(F.col("b") - F.col("a")).alias("n_passage_bytes"), F.sort_array(F.collect_list(gone)).alias("removed_spans"))
 
 
+def gone_lines(groups: DataFrame) -> DataFrame:
+    """The lines of ``groups`` that are not the first of theirs."""
+    return groups.where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
+
+
 def removals(groups: DataFrame) -> DataFrame:
     """One row for each document that loses lines: the lines, their characters and where the text is kept."""
-    gone = groups.where((F.col("doc_id") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"), F.sum("n_chars").alias("n_removed_chars"), F.sort_array(F.collect_set("first_doc")).alias("kept_in"))
+    return gone_lines(groups).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed_lines"), F.sum("n_chars").alias("n_removed_chars"), F.sort_array(F.collect_set("first_doc")).alias("kept_in"))
+
+
+#: Keys of documents whose id does not name them begin here; ids are smaller.
+UNNAMED = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, which names a document: its id, or a fingerprint where the id is null or several texts have it.
+
+    Rows of the same id and text have the same key. Keys of fingerprints come after all ids (which are below 2**62).
+    """
+    text = F.col("text").cast("string")
+    at = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_print": F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text, text.isNull())})
+    shared = at.where("_id is not null").groupBy("_id").agg(F.min("_print").alias("x"), F.max("_print").alias("y")).where("x <> y").select("_id", F.lit(True).alias("_shared"))
+    shared = materialize(shared, "shared-ids")
+    other = F.col("_print").bitwiseAND(UNNAMED - 1) + UNNAMED
+    if shared.isEmpty():
+        return at.withColumn("key", F.when(F.col("_id").isNull(), other).otherwise(F.col("_id"))).select(*docs.columns, "key")
+    at = at.join(F.broadcast(shared) if small_enough(shared, FEW) else shared, "_id", "left")
+    return at.withColumn("key", F.when(F.col("_id").isNull() | F.col("_shared"), other).otherwise(F.col("_id"))).select(*docs.columns, "key")
 
 
 def paragraph_dedup(docs: DataFrame, **parameters) -> DataFrame:
@@ -327,12 +382,19 @@ def paragraph_dedup(docs: DataFrame, **parameters) -> DataFrame:
     elsewhere too and their ``n_passage_bytes``, those kept here included, and the ``removed_spans`` of bytes. ``repeated`` says whether the
     document holds any such passage.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = passage_runs(repeated_passages(rows.where("doc_id is not null")))
-    gone = removals(paragraph_groups(docs, **parameters))
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumnRenamed("id", "doc_id"))
+    named, rows = rows, rows.select(F.col("key").alias("doc_id"), "text")
+    groups = paragraph_groups(rows, **parameters)
+    runs = passage_runs(keep_passages_outside(repeated_passages(rows), gone_lines(groups)))
+    gone = removals(groups)
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
-    every = rows.select("doc_id", lines.alias("n_paragraphs"))
-    out = every.join(gone, "doc_id", "left").join(runs, "doc_id", "left")
+    every = named.select(F.col("doc_id").alias("id"), F.col("key").alias("doc_id"), lines.alias("n_paragraphs"))
+    unnamed = named.where(F.col("key") >= UNNAMED).select(F.col("key").alias("kept"), F.col("doc_id").alias("id")).distinct()
+    if not unnamed.isEmpty():  # what is kept in documents of such a key is told by their ids, if they have one
+        at = gone.select("doc_id", F.explode("kept_in").alias("kept")).join(unnamed, "kept", "left")
+        ids = at.select("doc_id", F.when(F.col("kept") < UNNAMED, F.col("kept")).otherwise(F.col("id")).alias("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_set("kept")).alias("kept_in"))
+        gone = gone.drop("kept_in").join(ids, "doc_id")
+    out = every.join(gone, "doc_id", "left").join(runs, "doc_id", "left").drop("doc_id").withColumnRenamed("id", "doc_id")
     return out.select(
         "doc_id", "n_paragraphs", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"), F.coalesce("n_removed_chars", F.lit(0)).cast("long").alias("n_removed_chars"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"),
@@ -342,7 +404,7 @@ def paragraph_dedup(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def remove_paragraphs(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the lines in ``gone`` (:func:`removals`), with all their other columns."""
+    """``docs`` without the lines in ``gone`` (:func:`removals`, by ``doc_id``), with all their other columns."""
     marked = docs.join(gone.select("doc_id", "removed_lines"), "doc_id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains(F.col("removed_lines"), i)), "\n")
     return marked.withColumn("text", F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
