@@ -23,23 +23,22 @@ ALL_YEARS = (1997, 2005)
 MODEL_CODES = {"A6C5": "A6 C5", "A6C6": "A6 C6", "A6C7": "A6 C7", "A6C4": "A6 C4", "A4B6": "A4 B6", "A4B7": "A4 B7", "A4B8": "A4 B8", "A4B5": "A4 B5"}
 ENGINE_CODES = {"1.8T": "1.8T", "2.4": "2.4", "1.9TDI": "1.9 TDI"}
 
+#: Patterns of numbers in typed texts.
+_THOUSANDS = r"(\d+(?:\.\d+)?)\s*[kк]\b"
 _RANGE = r"(\d{3,6})\s*(?:-|—|–|\.\.|/|to|до)\s*(\d{3,6})"
+_NUMBER = r"\b(\d{3,6})\b"
+_LEAST, _MOST = r"(?:від|от|>|\+)\s*(\d{3,6})", r"(?:до|<)\s*(\d{3,6})"
+_MILEAGE_THOUSANDS = r"(\d+(?:[.,]\d+)?)\s*(?:тис|тыс|тис\.|тыс\.|[kк])\b"
+_MILEAGE_NEAR = r"(?:пробіг|пробег|км)?[:\s]*(\d[\d\s]{4,7})\s*(?:км)?"
 
 
 def _with_thousands(text: Column) -> Column:
-    """``3.5k`` as ``3500``: numbers with k are rewritten one by one, up to four in a text."""
-
-    def once(t: Column) -> Column:
-        def rewrite(number: Column) -> Column:
-            value = F.floor(number.try_cast("decimal(12,4)") * 1000).cast("string")
-            this = F.concat(F.lit("(?iuU)"), F.replace(number, F.lit("."), F.lit("\\.")), F.lit("\\s*[kк]\\b"))
-            return F.when(number != "", F.regexp_replace(t, this, value)).otherwise(t)
-
-        return let(F.regexp_extract(t, pattern(r"(\d+(?:\.\d+)?)\s*[kк]\b"), 1), rewrite)
-
-    for _ in range(4):
-        text = let(text, once)
-    return text
+    """``3.5k`` as ``3500``, wherever a number with k stands: what is between these numbers, and each of them in full."""
+    between = F.split(text, pattern(_THOUSANDS), -1)
+    whole = F.regexp_extract_all(text, F.lit(pattern(_THOUSANDS)), F.lit(0))
+    numbers = F.regexp_extract_all(text, F.lit(pattern(_THOUSANDS)), F.lit(1))
+    full = F.zip_with(numbers, whole, lambda n, w: F.coalesce(F.floor(n.try_cast("decimal(12,4)") * 1000).cast("string"), w))
+    return F.array_join(F.zip_with(between, full, lambda x, n: F.concat(x, F.coalesce(n, F.lit("")))), "")
 
 
 def price_bounds(text: Column) -> Column:
@@ -57,10 +56,10 @@ def _price_of(clean: Column, plain: Column) -> Column:
     def group(p: str, i: int) -> Column:
         return F.regexp_extract(plain, pattern(p), i).try_cast("int")
 
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(pattern(r"\b(\d{3,6})\b")), F.lit(1)), lambda x: x.try_cast("int"))
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(pattern(_NUMBER)), F.lit(1)), lambda x: x.try_cast("int"))
     low, high = group(_RANGE, 1), group(_RANGE, 2)
     first, second = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    least, most = group(r"(?:від|от|>|\+)\s*(\d{3,6})", 1), group(r"(?:до|<)\s*(\d{3,6})", 1)
+    least, most = group(_LEAST, 1), group(_MOST, 1)
     return (
         F.when(clean.isin(RESET_PRICE), result(none, none))
         .when(low.isNotNull(), result(F.least(low, high), F.greatest(low, high)))
@@ -79,8 +78,8 @@ def mileage_bound(text: Column) -> Column:
 
 def _mileage_of(clean: Column) -> Column:
     none = F.lit(None).cast("int")
-    thousands = F.translate(F.regexp_extract(clean, pattern(r"(\d+(?:[.,]\d+)?)\s*(?:тис|тыс|тис\.|тыс\.|[kк])\b"), 1), ",", ".").try_cast("decimal(12,4)")
-    near = F.regexp_replace(F.regexp_extract(clean, pattern(r"(?:пробіг|пробег|км)?[:\s]*(\d[\d\s]{4,7})\s*(?:км)?"), 1), "\\s+", "").try_cast("long")
+    thousands = F.translate(F.regexp_extract(clean, pattern(_MILEAGE_THOUSANDS), 1), ",", ".").try_cast("decimal(12,4)")
+    near = F.regexp_replace(F.regexp_extract(clean, pattern(_MILEAGE_NEAR), 1), "\\s+", "").try_cast("long")
     context = matches(clean, "|".join(MILEAGE_WORDS))
     digits = F.regexp_replace(clean, "\\D", "").try_cast("long")
 
