@@ -20,6 +20,7 @@ from marketloom.operators.rules import RuleSet
 from marketloom.operators.stats import market_peers, seller_counts
 from marketloom.operators.telemetry import run_counters, totals
 from marketloom.operators.user_filter import match_users
+from marketloom.tables import written
 
 
 def derive(raw: DataFrame) -> DataFrame:
@@ -55,9 +56,8 @@ def run_batch(raw: DataFrame, order: list[str], store: DataFrame | None = None,
     rejected = decided.where("decision.status = 'REJECT'")
     rows = apply_decision(decided.where("decision.status <> 'REJECT'"))
     # both are read many times: written down once, so the classifier is not in every branch of the plan
-    cut = (lambda x: x.checkpoint()) if raw.sparkSession.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    rows = cut(rows.withColumn("content_fingerprint", content_fingerprint(True)))
-    found = cut(with_price_drops(deduplicate(rows, order, store), ["source", "source_id"], order, store=store))
+    rows = written(rows.withColumn("content_fingerprint", content_fingerprint(True)))
+    found = written(with_price_drops(deduplicate(rows, order, store), ["source", "source_id"], order, store=store))
     stats = seller_counts(market_peers(found))
     gated = alert_gate(stats, allow_review=allow_review)
     if filters is not None:
