@@ -7,7 +7,7 @@ Pairs inside a group of equal signatures are never listed:
    shares most signatures with, then with those that are still in another component.
 3. What is left are groups with members in several components. Their members are compared by sketches, block by block,
    but what is listed is a forest only: so many pairs as join the components that may be linked, first the nearest, in a second
-   round any. Once these are verified, the few pairs that are still apart and may be similar are all listed: mostly
+   round any. Sketches are folded for this, as a set is in many groups. Once these are verified, the few pairs that are still apart and may be similar are all listed: mostly
    pairs that only their sketches take for similar.
 
 Before sets are compared, odd sketches (the parity of the elements in each of several buckets) give a
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import FEW, discard, materialize, small_enough, tidy
+from marketloom.llm.common import FEW, discard, free_shuffles, materialize, small_enough, tidy
 from marketloom.llm.components import components
 
 
@@ -182,6 +182,29 @@ def _forest(x: np.ndarray, y: np.ndarray, code: np.ndarray, order: np.ndarray) -
 NEAREST, ANY, ALL = "nearest", "any", "all"
 
 
+#: Times a sketch is halved before it goes to every group that its set is in: a bit or two for each element are left.
+HALVED = 3
+
+
+def slim(sets: DataFrame) -> DataFrame:
+    """``node``, ``n`` and the folded ``sketch``: far fewer bytes, whose bound is lower but still tells most other sets apart."""
+    kind = sets.schema["node"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("sketch"):
+                x = np.frombuffer(x.as_buffer(), np.uint8)
+                for _ in range(HALVED):
+                    if len(x) > 8:
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(out, pa.binary())], ["node", "n", "sketch"])
+
+    schema = T.StructType([T.StructField("node", kind), sets.schema["n"], T.StructField("sketch", T.BinaryType())])
+    return sets.select("node", "n", "sketch").mapInArrow(tidy(run), schema)
+
+
 def near_pairs(left: DataFrame, sets: DataFrame, threshold_pct: int, which: str = ALL) -> DataFrame:
     """Pairs (``a``, ``b``) across components (``c``) of a ``signature`` group that sizes and sketches allow.
 
@@ -257,6 +280,7 @@ def components_of(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     shares it with others; ``b`` is the group's smallest member, or the smallest of a part of it. ``sets_of``
     gives ``node``, ``n``, ``sketch`` and ``elements`` (sorted distinct 64-bit hashes) of a table of nodes.
     """
+    free_shuffles(shared.sparkSession)
     stars = materialize(shared.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common")), "hub-pairs")
 
     wanted = materialize(shared.select(F.col("a").alias("node")).distinct(), "candidates")
@@ -276,13 +300,15 @@ def components_of(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     grow(across(stars.select("a", "b"), parts))
 
     # what two hub rounds leave: groups with members in several components
+    small = materialize(slim(sets), "slim-sketches")
     for which in (NEAREST, ANY, ALL):
+        free_shuffles(shared.sparkSession)
         placed = shared.select("signature", "a").distinct().join(parts.select(F.col("node").alias("a"), "component"), "a", "left").select("signature", "a", F.coalesce("component", "a").alias("c"))
         mixed = placed.groupBy("signature").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high").select("signature", "members")
         left = materialize(placed.join(mixed, "signature"), "mixed-groups")
-        grow(near_pairs(left, sets, threshold_pct, which))
+        grow(near_pairs(left, small, threshold_pct, which))
         discard(left)
 
-    for used in (stars, wanted, sets):
+    for used in (stars, wanted, sets, small):
         discard(used)
     return parts
