@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import pre_tokens, slices, text_bytes
+from marketloom.llm.common import pre_tokens, slices, text_bytes, tidy
 
 #: Distinct merged pre-tokens that one Python worker remembers; a bound on memory, not on results.
 REMEMBERED = 400_000
+#: Text that is cut and looked up at once.
+COUNT_BYTES = 1 << 20
 
 
 class PieceCounter:
@@ -132,7 +134,7 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
 
         counts = counter(model_file)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", COUNT_BYTES):
                 text = part.column("text")
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pc.fill_null(pc.binary_length(text), 0).cast(pa.int64()), pa.array(counts.count(text), pa.int64())],
@@ -140,4 +142,4 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
