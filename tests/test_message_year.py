@@ -17,3 +17,14 @@ def test_message_specs_of_a_cheap_line(spark, tmp_path):
     spark.createDataFrame([(3, 5)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     rows = QUERIES["message_specs"](spark, f"file://{tmp_path}").collect()
     assert sorted((r.l_linenumber, r.year, r.price) for r in rows) == [(2, None, 2004.0), (3, 2000, 1999.0)]
+
+
+def orders(spark, path, rows):
+    kinds = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string"
+    spark.createDataFrame(rows, kinds).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{path}/orders.parquet")
+    return f"file://{path}"
+
+
+def test_profile_feed_of_a_cheap_order(spark, tmp_path):
+    sf = orders(spark, tmp_path, [(1, 7, 2001.9, "1996-05-06"), (2, 7, 2001.9, "1999-05-06")])
+    assert sorted((r.source_id, r.year, r.price) for r in QUERIES["profile_feed"](spark, sf).collect()) == [("ig_1", None, 2001.0), ("ig_2", 1999, 2001.0)]
