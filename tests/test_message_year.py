@@ -28,3 +28,9 @@ def orders(spark, path, rows):
 def test_profile_feed_of_a_cheap_order(spark, tmp_path):
     sf = orders(spark, tmp_path, [(1, 7, 2001.9, "1996-05-06"), (2, 7, 2001.9, "1999-05-06")])
     assert sorted((r.source_id, r.year, r.price) for r in QUERIES["profile_feed"](spark, sf).collect()) == [("ig_1", None, 2001.0), ("ig_2", 1999, 2001.0)]
+
+
+def test_channel_messages_of_a_cheap_order(spark, tmp_path):
+    """A single ad and an album."""
+    sf = orders(spark, tmp_path, [(1, 7, 2004.5, "1996-05-06"), (2, 9, 2004.5, "1995-05-06"), (3, 9, 9000.0, "1999-05-06")])
+    assert sorted((r.source_id, r.year, r.price, r.is_album) for r in QUERIES["channel_messages"](spark, sf).collect()) == [("ch2_1", None, 2004.0, "false"), ("ch4_2", None, 2004.0, "true")]
