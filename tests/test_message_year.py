@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions.extract import message_specs
+from marketloom.plans import site_queries  # noqa: F401  (registers its queries)
 from marketloom.plans.queries import QUERIES
 
 
