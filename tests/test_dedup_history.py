@@ -65,3 +65,21 @@ def test_quality_and_delete(spark):
     own = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, duplicate_of_id long")
     kept, versions = delete_listings(own, spark.createDataFrame([(1,), (2,)], "listing_id long"), spark.createDataFrame([(1,)], "id long"))
     assert sorted(map(tuple, kept.collect())) == [(2, None), (3, 2)] and versions.count() == 1
+
+
+def test_tables_written_between_steps_are_narrow(spark):
+    """URLs and fingerprints go into no table that is written down, and a round of pointers has no row that is its own root."""
+    from marketloom.tables import written
+
+    batch = spark.createDataFrame([(i, "a", f"s{i}", f"u{i % 50}", f"f{i}") for i in range(60)], "seq long, source string, source_id string, canonical_url string, content_fingerprint string")
+    seen = []
+
+    def note(df):
+        out = written(df)
+        seen.append((set(out.columns), out.count()))
+        return out
+
+    got = deduplicate(batch, ["seq"], materialize=note)
+    assert sorted((r.seq, r.dedup_level, r.root.seq) for r in got.collect()) == [(i, 2 if i >= 50 else 0, i % 50) for i in range(60)]
+    assert not [c for c, _ in seen if c & {"canonical_url", "content_fingerprint"}]
+    assert [n for c, n in seen if "moved" in c] == [10]
