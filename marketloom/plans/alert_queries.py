@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.operators import alerts as A
-from marketloom.operators.dedup import deduplicate
-from marketloom.operators.history import with_price_drops
 from marketloom.operators.stats import market_peers, seller_counts
-from marketloom.operators.user_filter import match_users
-from marketloom.plans.demo import FILTERS_SQL, ORDER, user_filters
-from marketloom.plans.queries import ID_SQL, ORACLES, _dedup_rows, _ids, query
+from marketloom.operators.user_filter import count_users
+from marketloom.plans.demo import FILTERS_SQL, user_filters
+from marketloom.plans.queries import ID_SQL, ORACLES, _ids, _observed, query
 
 
 def _even(n: str, d: int) -> str:
@@ -56,7 +54,7 @@ def _alert_details(spark, sf):
     none = F.lit(None).cast("string")
     photos = F.slice(F.array(F.lit("http://a/1"), F.lit("https://a/2"), F.lit("data:3")), 1, (F.col("l_linenumber") % 3).cast("int"))
     review = F.col("l_orderkey") % 11 == 0
-    at = with_price_drops(deduplicate(_dedup_rows(spark, sf), ORDER), ["source", "source_id"], ORDER)
+    at = _observed(spark, sf)
     at = at.withColumns({"images": photos, "id": F.xxhash64(*_ids()), "engine": F.lit("1.8T 150"), "engine_code": F.lit("1.8T"), "description": none, "status": F.when(review, "NEEDS_REVIEW").otherwise("NEW")})
     rows = A.alert_columns(A.alert_gate(seller_counts(market_peers(at))))
     rows = rows.withColumns({"drop": A.price_drop_badge(F.col("price_usd"), F.col("price_diff")), "review": A.review_badge(F.col("status"), F.array(F.lit("YEAR"), F.lit("ENGINE")))})
@@ -64,5 +62,4 @@ def _alert_details(spark, sf):
         *_ids("source_name", "price_label", "mileage_label", "place_label", "seller_kind", "delivery", "review", "is_price_drop"), F.col("market.amount").cast("double").alias("below"), F.col("market.pct").alias("below_pct"),
         F.col("price_diff").cast("double").alias("price_diff"), F.col("drop.old").cast("double").alias("old_price"), F.col("drop.pct").alias("drop_pct"),
     )
-    met = match_users(rows, user_filters(spark, sf)).groupBy(*_ids()).agg(F.count("*").alias("n_users"))
-    return shown.join(met, _ids())
+    return shown.join(count_users(rows, user_filters(spark, sf), _ids()), _ids())
